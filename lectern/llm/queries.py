@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .ngram_join import op2_ngram_join
 from .quality_rules import op3_quality_rules
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
 }
 
