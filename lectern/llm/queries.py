@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .ngram_join import op2_ngram_join
+from .pii import op6_pii
 from .quality_rules import op3_quality_rules
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
+    "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
 }
 
 ORACLES: dict[str, str] = {}
