@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .mixing import op4_mixing
+from .mixing import oracle as op4_oracle
 from .ngram_join import op2_ngram_join
 from .pii import op6_pii
 from .quality_rules import op3_quality_rules
+from .sharding import op7_sharding
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op7_sharding": op7_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": op4_oracle(),
+}
