@@ -23,6 +23,7 @@ import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,7 +121,7 @@ codec = lru_cache(maxsize=2)(Codec)
 
 def encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ids of every whole text."""
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         c = codec(path)
@@ -133,7 +134,7 @@ def encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)) -
 
 def decode(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and the text that the column ids stands for."""
-    schema = encoded.select(*keep).schema.add("text", "string")
+    schema = encoded.select(*keep).schema.add("text", T.StringType())
 
     def run(batches):
         c = codec(path)
