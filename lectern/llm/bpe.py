@@ -15,8 +15,8 @@ import hashlib
 import heapq
 import json
 import sys
+import types
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -116,7 +116,12 @@ class Codec:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-codec = lru_cache(maxsize=2)(Codec)
+def codec(path: str) -> Codec:
+    """The file's codec, loaded once a worker process; functions arrive by value, so a module holds it."""
+    held = sys.modules.setdefault("_lectern_codecs", types.ModuleType("_lectern_codecs")).__dict__
+    if path not in held:
+        held[path] = Codec(path)
+    return held[path]
 
 
 def encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
