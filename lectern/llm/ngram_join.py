@@ -24,7 +24,6 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
@@ -34,12 +33,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, spool
+from .common import connected_components, small_batches, spool
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 BITMAP_WORDS = 16
 #: Frequent shingles and large groups of copies that are broadcast at most; beyond them only cost grows.
 MOST_HOT = 65_536
@@ -57,30 +54,60 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts; word hashes are kept in a bounded table."""
+    """Sorted distinct shingle hashes of UTF-8 texts, without a Python object per word.
 
-    def __init__(self, n: int, most: int = 400_000):
-        import xxhash
+    A word's hash is the difference of two prefix sums of byte values times powers of an odd base, scaled
+    back to the start of the text, then mixed; upper-case A-Z have the values of a-z.
+    """
 
-        self.n, self.most, self.seen, self.hash = n, most, {}, xxhash.xxh3_64_intdigest
+    PIECE = 1 << 20
+
+    def __init__(self, n: int):
+        self.n = n
         rng = np.random.default_rng(20240229)
-        self.mul = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(text.translate(LOWER)) if text else ()
-        if not words:
-            return np.empty(0, np.uint64)
-        seen, new = self.seen, self.hash
-        if len(seen) > self.most:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = new(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        odd = lambda k: rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.mul, self.value = odd(n), odd(256)
+        self.value[65:91] = self.value[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        base = int(odd(1)[0])
+        self.base, self.back = base, pow(base, -1, 1 << 64)
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def powers(self, size: int) -> None:
+        while len(self.up) < size:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.back, k, 1 << 64))])
+
+    def words(self, raw: np.ndarray) -> np.ndarray:
+        """Hash of every word of a piece of text in turn."""
+        gap = self.space[raw]
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+        first, last = edge[::2], edge[1::2]
+        self.powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.value[raw] * self.up[: len(raw)], out=sums[1:])
+        return mix((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
+
+    def __call__(self, raw: np.ndarray) -> np.ndarray:
+        parts, at = [], 0
+        while at < len(raw):
+            to = min(at + self.PIECE, len(raw))
+            while to < len(raw) and not self.space[raw[to]]:
+                to += 1
+            parts.append(self.words(raw[at:to]))
+            at = to
+        h = parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
+        if not len(h):
+            return h
         k = min(self.n, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)  # shorter texts: the whole sequence, told from longer ones by k
         for i in range(k):
-            out = mix(out + h[i : len(h) - k + 1 + i] * self.mul[i])
-        return np.unique(out)
+            out += h[i : len(h) - k + 1 + i] * self.mul[i]
+        out = mix(out)
+        out.sort()
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -144,10 +171,14 @@ def signatures(h: np.ndarray, bands: Bands, hot: np.ndarray, counts: np.ndarray)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
+    """(id, bytes) of each row; null text is empty."""
     for b in batches:
-        ids = b.column(0)
-        for k in range(b.num_rows):
-            yield ids[k].as_py(), b.column(1)[k].as_py()
+        text = b.column(1).cast(pa.large_binary())
+        at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+        data = text.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        for i, x, y in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield i, data[x:y]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -322,6 +353,11 @@ def _sets(n: int):
 
 def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; two rows link at 100 * shared >= percent * union."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, words, percent)
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = spool(docs.mapInArrow(_profiles(words), "kind int, id long, n long, f1 long, f2 long, bits binary"), "op2-profiles")
