@@ -44,6 +44,7 @@ HOT_FROM = 256
 COPIES_FROM = 16
 BLOOM_BITS = 1 << 26
 CHUNK = 2_000_000
+MERGES = 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -275,21 +276,34 @@ def _shared(batches):
         yield runs(key, node)
 
 
-def _across(percent: int):
-    """Pairs of different components within a bucket that the bitmaps cannot rule out; rows come sorted by key."""
+def _across(percent: int, nearest: bool):
+    """Pairs of different components within a bucket that the bitmaps cannot rule out; rows come sorted by key.
+
+    nearest: of each component but a largest only the pair with most room below its bound, so that a bucket
+    gives no more pairs than it has components.
+    """
 
     def bucket(node, comp, n, bits):
         names, where, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
-        order = np.argsort(sizes[where], kind="stable")  # members of the largest component come last and never lead
+        order = np.lexsort((where, sizes[where]))  # members of a largest component come last and never lead
         node, where, n, bits = node[order], where[order], n[order], bits[order]
-        lead = int((where != where[-1]).sum())
+        lead, best = int((where != where[-1]).sum()), {}
         for a in range(lead):
-            d = np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(1)
-            hit = np.flatnonzero((where[a + 1 :] != where[a]) & (d <= differing(n[a + 1 :] + n[a], 0, percent))) + a + 1
-            for b in hit:
+            room = differing(n[a + 1 :] + n[a], 0, percent) - np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(1).astype(np.int64)
+            hit = np.flatnonzero((where[a + 1 :] != where[a]) & (room >= 0))
+            if not len(hit):
+                continue
+            if nearest:
+                b = hit[np.argmax(room[hit])]
+                if room[b] > best.get(where[a], (-1,))[0]:
+                    best[where[a]] = room[b], a, b + a + 1
+                continue
+            for b in hit + a + 1:
                 yield min(node[a], node[b]), max(node[a], node[b])
+        for _, a, b in best.values():
+            yield min(node[a], node[b]), max(node[a], node[b])
 
     def run(batches):
         held, last, seen = [], None, set()
@@ -405,15 +419,26 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = spool(verified(star), "op2-links")
     comps = spool(connected_components(links), "op2-comps")
     # Second look: buckets that still hold several components
-    of_node = reps.select(F.col("f1").alias("node"), F.col("rep").alias("id")).join(comps, "id", "left").groupBy("node").agg(F.min(F.coalesce("component", "id")).alias("comp"))
-    placed = shared.select("key", "node").join(of_node, "node")
+    def of_node(comps):
+        c = reps.select(F.col("f1").alias("node"), F.col("rep").alias("id")).join(comps, "id", "left")
+        return c.groupBy("node").agg(F.min(F.coalesce("component", "id")).alias("comp"))
+
+    placed = shared.select("key", "node").join(of_node(comps), "node")
     split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     bits = rows.where("n > 0").groupBy(F.col("f1").alias("node")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    looked = placed.join(split, "key", "left_semi").join(bits, "node").select("key", "node", "comp", "n", "bits")
-    more = spool(looked.repartition("key").sortWithinPartitions("key").mapInArrow(_across(percent), "a long, b long").distinct(), "op2-across")
-    if more.limit(1).count():
-        found = spool(verified(more), "op2-links")
-        comps = spool(connected_components(links.union(found)), "op2-comps")
+    still = spool(shared.select("key", "node").join(split, "key", "left_semi").join(bits, "node").select("key", "node", "n", "bits"), "op2-open")
+
+    def across(comps, nearest):
+        looked = still.join(of_node(comps), "node").select("key", "node", "comp", "n", "bits").repartition("key").sortWithinPartitions("key")
+        return spool(looked.mapInArrow(_across(percent, nearest), "a long, b long").distinct(), "op2-across")
+
+    # rounds that join each component to its nearest keep the pairs few; the last look takes all that are left
+    for k in range(MERGES + 1):
+        pairs = across(comps, k < MERGES)
+        found = spool(verified(pairs), "op2-links") if pairs.limit(1).count() else None
+        if found is not None and found.limit(1).count():
+            links = links.union(found)
+            comps = spool(connected_components(links), "op2-comps")
     own = reps.select("f1", "f2", F.col("n").alias("size"), "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     own = own.select("f1", "f2", "size", F.coalesce("component", "rep").alias("component"))
     filled, empty = rows.where("n > 0 and id is not null"), rows.where("n = 0 or id is null")
