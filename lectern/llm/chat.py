@@ -5,9 +5,9 @@ share initial turns share the nodes of a prefix tree: a node is the digest of al
 distinct by one partial aggregate, so a first turn common to a third of all conversations is one row before
 the shuffle. Nodes in the order of their paths are the forest depth first; their offsets in the emitted
 stream come from a two-level prefix sum (within range partitions, then over the partitions' totals).
-Tokens are code points: each node carries its stream interval, the position of its first token within its
-conversation, the stream intervals of its ancestors, which are all it may attend to besides itself, and the
-interval under the loss mask. A conversation is its leaf's place in the stream and is read back from there.
+Tokens are code points. Runs of first children are segments, which carry their stream interval, the position
+of their first token within its conversation, the stream intervals of their ancestors and those under the
+loss mask. A conversation is a place in the stream, its last segment and stop, and is read back from there.
 
 Edge cases: null text or role is empty; turns are ordered by turn, equal ones by role and text; repeated
 rows are repeated turns; a null conv_id is a conversation of its own; a conversation that is the beginning
@@ -66,7 +66,9 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-CONVERSATION = "conv_id long, nodes array<struct<node:string,parent:string,depth:int,text:string,position:long,loss_start:long,loss_end:long>>"
+CONVERSATION = "conv_id long, nodes array<struct<node:string,parent:string,depth:int,text:string,position:long,loss_start:long,loss_end:long>>, path string"
+#: Hex digits a turn in the sort key; equal keys of siblings only cut segments shorter.
+KEY = 8
 
 
 def _paths(batches):
@@ -82,57 +84,74 @@ def _paths(batches):
                 path.append({"node": name, "parent": above, "depth": len(path), "text": text, "position": at, "loss_start": x, "loss_end": y})
                 above, at = name, at + len(text)
             rows.append(path)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(node))], names=["conv_id", "nodes"])
+        keys = ["".join(n["node"][:KEY] for n in p) for p in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(node)), pa.array(keys, pa.string())], names=["conv_id", "nodes", "path"])
 
 
 def format_forest(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stream, leaves) of rows conv_id, turn, role, text.
 
-    stream: start, stop, text, position, loss_start, loss_stop (stream places), ancestors (array of start,
-    stop, outermost first), one row a node, depth first. leaves: conv_id, start of its last node.
+    stream: one row a segment, which is a run of nodes each the first child of the one before: start, stop,
+    text, position, loss (array of start, stop in the stream) and ancestors (array of start, stop, outermost
+    first; each starts a segment). A token may attend to its segment's ancestors and to all before it in the
+    segment. leaves: conv_id, the start of its last segment and the place where the conversation stops.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    convs = spool(grouped.mapInArrow(_paths, CONVERSATION), "op9-paths")
-    path = F.transform(F.col("nodes"), lambda n: n["node"])
-    each = convs.select(F.posexplode("nodes").alias("k", "n"), path.alias("path")).select("n.*", F.slice("path", 1, F.col("k") + 1).alias("path"))
-    # one row a node: all its rows are equal, so any of them will do
-    nodes = each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("parent", "depth", "text", "position", "loss_start", "loss_end", "path")])
+    convs = spool(grouped.mapInArrow(_paths, CONVERSATION).withColumn("cid", F.monotonically_increasing_id()), "op9-paths")
+    each = convs.select("cid", "path", F.explode("nodes").alias("n")).select("cid", "n.*", F.substring(F.col("path"), F.lit(1), (F.col("n.depth") + 1) * KEY).alias("path"))
+    # one row a node: all its rows are equal but for the conversation, of which any will do
+    same = ("parent", "depth", "text", "position", "loss_start", "loss_end", "path")
+    nodes = each.groupBy("node").agg(F.min("cid").alias("cid"), *[F.first(c).alias(c) for c in same])
     spark = turns.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = nodes.repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id()).withColumn("size", F.length("text").cast("long"))
+    ranged = nodes.repartitionByRange(parts, "path", "node").withColumn("part", F.spark_partition_id()).withColumn("size", F.length("text").cast("long"))
     ranged = spool(ranged, "op9-nodes")
     totals = sorted((r["part"], r["s"]) for r in ranged.groupBy("part").agg(F.sum("size").alias("s")).collect())  # one number a partition
     base, at = {}, 0
     for p, s in totals:
         base[p], at = at, at + s
     bases = spark.createDataFrame(list(base.items()) or [(0, 0)], "part int, base long")
-    before = F.sum("size").over(Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    placed = ranged.withColumn("before", before).join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("before"))
-    placed = spool(placed.select("node", "depth", "text", "position", "loss_start", "loss_end", "path", "start", (F.col("start") + F.col("size")).alias("stop")), "op9-placed")
-    links = placed.where("depth > 0").select("node", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("above"))
-    above = links.join(placed.select(F.col("node").alias("above"), F.col("start").alias("a"), F.col("stop").alias("b")), "above")
-    above = above.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("stop")))).alias("ancestors"))
-    stream = placed.join(above, "node", "left").select(
-        "node", "start", "stop", "text", "position", (F.col("start") + F.col("loss_start")).alias("loss_start"), (F.col("start") + F.col("loss_end")).alias("loss_stop"),
+    order = Window.partitionBy("part").orderBy("path", "node")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.sum("size").over(upto) - F.col("size"))
+    head = F.coalesce(F.lag("node").over(order) != F.col("parent"), F.lit(True))
+    placed = placed.withColumn("head", head).withColumn("segment", F.max(F.when(F.col("head"), F.col("start"))).over(upto))
+    keep = ("node", "cid", "depth", "text", "position", "loss_start", "loss_end", "start", "head", "segment")
+    placed = spool(placed.select(*keep, (F.col("start") + F.col("size")).alias("stop")), "op9-placed")
+    # what a segment's first node hangs from: for each segment above, how far down the path it goes
+    heads = placed.where("head and depth > 0").select(F.col("start").alias("at"), "cid", "depth")
+    above = heads.join(convs.select("cid", F.transform("nodes", lambda n: n["node"]).alias("p")), "cid").select("at", F.explode(F.expr("slice(p, 1, depth)")).alias("node"))
+    above = above.join(placed.select("node", "segment", "stop"), "node").groupBy("at", "segment").agg(F.max("stop").alias("stop"))
+    above = above.groupBy("at").agg(F.array_sort(F.collect_list(F.struct(F.col("segment").alias("start"), "stop"))).alias("ancestors"))
+    loss = F.struct((F.col("start") + F.col("loss_start")).alias("start"), (F.col("start") + F.col("loss_end")).alias("stop"))
+    whole = placed.groupBy("segment").agg(
+        F.max("stop").alias("stop"), F.min("position").alias("position"),
+        F.array_sort(F.collect_list(F.struct("start", "text"))).alias("texts"),
+        F.array_sort(F.collect_list(F.when(F.col("loss_start") < F.col("loss_end"), loss))).alias("loss"),
+    )
+    stream = whole.join(above.withColumnRenamed("at", "segment"), "segment", "left").select(
+        F.col("segment").alias("start"), "stop", F.array_join(F.transform("texts", lambda x: x["text"]), "").alias("text"), "position", "loss",
         F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("ancestors"),
     )
     stream = spool(stream, "op9-stream")
     last = convs.select("conv_id", F.element_at("nodes", -1)["node"].alias("node"))
-    leaves = last.join(stream.select("node", "start"), "node").select("conv_id", "start")
-    return stream.drop("node"), leaves
+    leaves = last.join(placed.select("node", "segment", "stop"), "node").select("conv_id", F.col("segment").alias("start"), "stop")
+    return stream, leaves
 
 
 def read_back(stream: DataFrame, leaves: DataFrame) -> DataFrame:
     """conv_id, formatted text and loss intervals within it, from the stream alone."""
-    spans = F.concat("ancestors", F.array(F.struct("start", "stop")))
-    rows = leaves.join(stream.select("start", "stop", "ancestors"), "start").withColumn("_c", F.monotonically_increasing_id())
-    rows = spool(rows.select("_c", "conv_id", F.explode(spans).alias("s")).select("_c", "conv_id", F.col("s.start").alias("start")), "op9-spans")
-    parts = rows.join(stream.select("start", "text", "position", "loss_start", "loss_stop"), "start")
+    rows = leaves.withColumnRenamed("stop", "until").join(stream.select("start", "ancestors"), "start").withColumn("_c", F.monotonically_increasing_id())
+    spans = F.concat("ancestors", F.array(F.struct("start", F.col("until").alias("stop"))))
+    rows = spool(rows.select("_c", "conv_id", F.explode(spans).alias("s")).select("_c", "conv_id", F.col("s.start").alias("start"), F.col("s.stop").alias("until")), "op9-spans")
+    parts = rows.join(stream.select("start", "text", "position", "loss"), "start")
     shift = F.col("position") - F.col("start")
-    piece = F.struct("position", "text", (F.col("loss_start") + shift).alias("x"), (F.col("loss_stop") + shift).alias("y"))
-    whole = parts.groupBy("_c", "conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    loss = F.filter(F.transform("p", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))), lambda s: s["x"] < s["y"])
+    heard = F.filter("loss", lambda x: x["stop"] <= F.col("until"))
+    heard = F.transform(heard, lambda x: F.struct((x["start"] + shift).alias("x"), (x["stop"] + shift).alias("y")))
+    cut = F.substring(F.col("text"), F.lit(1), (F.col("until") - F.col("start")).cast("int"))
+    whole = parts.groupBy("_c", "conv_id").agg(F.array_sort(F.collect_list(F.struct("position", cut.alias("text"), heard.alias("loss")))).alias("p"))
+    loss = F.flatten(F.transform("p", lambda s: s["loss"]))
     return whole.select("conv_id", F.array_join(F.transform("p", lambda s: s["text"]), "").alias("formatted"), loss.alias("loss"))
 
 
