@@ -17,44 +17,68 @@ OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 
 
 def split_edits(reference: str, hypothesis: str) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions of one minimal alignment, in memory linear in the reference.
+    """Substitutions, deletions, insertions of one minimal alignment."""
+    return split_many([reference], [hypothesis])[0]
+
+
+def split_many(references: list[str], hypotheses: list[str], cells: int = 1 << 16) -> list[tuple[int, int, int]]:
+    """Splits of many pairs, in memory linear in the references, pairs of like lengths side by side.
 
     Cells go by antidiagonals. A cell takes its diagonal neighbour where characters agree, else the first
     of substitution, deletion, insertion that is minimal, which is the path a backtrace would take.
     """
-    code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a, b = code(reference), code(hypothesis)
-    n, m = len(a), len(b)
-    # rows: distance, substitutions, deletions, insertions; column i: after i reference characters
-    one, two = np.zeros((4, n + 1), np.int64), np.zeros((4, n + 1), np.int64)
-    for d in range(1, n + m + 1):
-        now = np.zeros((4, n + 1), np.int64)
-        lo, hi = max(0, d - m), min(n, d)
+    code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    pairs = [(code(r), code(h)) for r, h in zip(references, hypotheses, strict=True)]
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    while order:
+        take = max(1, min(len(order), cells // (len(pairs[order[-1]][0]) + 1)))
+        part, order = order[-take:], order[:-take]
+        for k, v in zip(part, _diagonals([pairs[k] for k in part]), strict=True):
+            out[k] = v
+    return out
+
+
+def _diagonals(pairs):
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    wide, tall = int(n.max()), int(m.max())
+    a, b = np.full((len(pairs), wide), -1), np.full((len(pairs), tall), -2)
+    for k, (x, y) in enumerate(pairs):
+        a[k, : len(x)], b[k, : len(y)] = x, y
+    # first axis: distance, substitutions, deletions, insertions; last: after i reference characters
+    one, two = (np.zeros((4, len(pairs), wide + 1), np.int32) for _ in range(2))
+    out, ends = [(0, 0, 0)] * len(pairs), n + m
+    for d in range(1, int(ends.max()) + 1):
+        now = np.zeros_like(one)
+        lo, hi = max(0, d - tall), min(wide, d)
         if lo == 0:
-            now[[0, 3], 0] = d
+            now[[0, 3], :, 0] = d
         if hi == d:
-            now[[0, 2], d] = d
-        i = np.arange(max(lo, 1), min(hi, d - 1) + 1)
-        if len(i):
-            same = a[i - 1] == b[d - i - 1]
-            diag, up, left = two[:, i - 1], one[:, i - 1], one[:, i]
+            now[[0, 2], :, d] = d
+        x, y = max(lo, 1), min(hi, d - 1)
+        if x <= y:
+            same = a[:, x - 1 : y] == b[:, d - y - 1 : d - x][:, ::-1]
+            diag, up, left = two[:, :, x - 1 : y], one[:, :, x - 1 : y], one[:, :, x : y + 1]
             best = np.minimum(np.minimum(diag[0], up[0]), left[0])
-            sub, cut = diag[0] == best, up[0] == best
-            take = np.where(same | sub, diag, np.where(cut, up, left)).copy()
-            edit = ~same
-            take[0] += edit
-            take[1] += edit & sub
-            take[2] += edit & ~sub & cut
-            take[3] += edit & ~sub & ~cut
-            now[:, i] = take
+            sub = ~same & (diag[0] == best)
+            cut = ~same & ~sub & (up[0] == best)
+            put = ~(same | sub | cut)
+            cell = np.where(same | sub, diag, np.where(cut, up, left))
+            cell[0] += ~same
+            cell[1] += sub
+            cell[2] += cut
+            cell[3] += put
+            now[:, :, x : y + 1] = cell
         one, two = now, one
-    return int(one[1, n]), int(one[2, n]), int(one[3, n])
+        for k in np.flatnonzero(ends == d):
+            out[k] = tuple(int(v) for v in one[1:, k, n[k]])
+    return out
 
 
 @F.pandas_udf("struct<substitutions:int,deletions:int,insertions:int>")
 def _split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for r, h in batches:
-        rows = [split_edits(x or "", y or "") for x, y in zip(r, h, strict=True)]
+        rows = split_many([x or "" for x in r], [y or "" for y in h])
         yield pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
 
 
