@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+_INTS = lambda *names: [T.StructField(n, T.IntegerType()) for n in names]
+# types, not DDL: importing must not need a session
+OPCODES = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *_INTS("i1", "i2", "j1", "j2")]))
+SPLIT = T.StructType(_INTS("substitutions", "deletions", "insertions"))
 
 
 def split_edits(reference: str, hypothesis: str) -> tuple[int, int, int]:
@@ -75,7 +79,7 @@ def _diagonals(pairs):
     return out
 
 
-@F.pandas_udf("struct<substitutions:int,deletions:int,insertions:int>")
+@F.pandas_udf(SPLIT)
 def _split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for r, h in batches:
         rows = split_many([x or "" for x in r], [y or "" for y in h])
@@ -113,7 +117,7 @@ def opcodes(reference: Column, hypothesis: Column) -> Column:
     return _opcodes(reference, hypothesis)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from difflib import SequenceMatcher
 

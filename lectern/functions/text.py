@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import script
 
@@ -31,7 +32,7 @@ MOJIBAKE = "\ufffd\u929d\u5697\uef3c\u0080\uf5f9\uf697"
 UNKNOWN = "未知"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
