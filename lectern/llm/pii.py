@@ -144,7 +144,12 @@ def find_spans(docs: DataFrame, keep: list[str], **options) -> DataFrame:
     out = found.select("row", *keep, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]], F.array_sort(F.flatten(F.array(*[kind(k) for k in range(4)]))).alias("base"))
     if more is None:
         return out.withColumn("spans", F.col("base")).drop("row")
-    more = more.groupBy("row").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e")).alias("more"))
+    more = spool(more.groupBy("row").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e")).alias("more")), "op6-more")
+    n = more.count()
+    if not n:
+        return out.withColumn("spans", F.col("base")).drop("row")
+    # rows with further spans are few; only beyond the bound are the texts shuffled to meet them
+    more = F.broadcast(more) if n <= BROADCAST_ROWS else more
     out = out.join(more, "row", "left").drop("row")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.slice("base", 1, 0))))).drop("more")
 
