@@ -8,7 +8,7 @@ is repeatable and needs no shuffle. Topic is a surface class of the text (see ``
 Edge cases: null source, language or text count as "" and belong to that class; documents without words
 carry no tokens and follow their cell, with probability 0 where the whole cell has no tokens; targets are
 shares tempered from the corpus unless given, targets of absent classes are ignored; rows with equal ids
-share one draw, null ids draw as ""; empty tables give empty results; other columns are kept as they are.
+share one draw, null ids draw as ""; empty tables give empty results; other columns are kept as they are, but for those the operator adds by name.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def draw(doc_id: Column, seed: str) -> Column:
 
 def calibrated(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
     """Measured documents with _probability and _kept."""
-    m = measured(docs)
+    m = measured(docs.drop("_probability", "_kept"))
     cells = m.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     cells = spool(rake(spool(cells, "op4-counted"), **options), "op4-weights")
     near = cells.select("_source", "_lang", "_topic", F.col("probability").alias("_probability"))

@@ -171,14 +171,15 @@ def signatures(h: np.ndarray, bands: Bands, hot: np.ndarray, counts: np.ndarray)
     return np.unique(np.concatenate(out))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]):
-    """(id, bytes) of each row; null text is empty."""
+def _texts(batches: Iterator[pa.RecordBatch], marked: bool = False):
+    """(id, bytes) of each row, or ((id, third column), bytes); null text is empty."""
     for b in batches:
         text = b.column(1).cast(pa.large_binary())
         at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
         data = text.buffers()[2]
         data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-        for i, x, y in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+        ids = b.column(0).to_pylist()
+        for i, x, y in zip(zip(ids, b.column(2).to_pylist(), strict=True) if marked else ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
             yield i, data[x:y]
 
 
@@ -187,7 +188,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _profiles(n: int):
-    """Per document (kind 0) size, two fingerprints and bitmap; per chunk (kind 1) shingles met often, as id and n."""
+    """Per document (kind 0) size, two fingerprints, bitmap and mark; per chunk (kind 1) shingles met often, as id and n."""
 
     def run(batches):
         shingle, kept, size = Shingler(n), [], 0
@@ -197,14 +198,14 @@ def _profiles(n: int):
                 v, c = np.unique(np.concatenate(kept), return_counts=True)
                 pick = c >= 8
                 k = int(pick.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(_signed(v[pick])), pa.array(c[pick].astype(np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], names=list(NAMES))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(_signed(v[pick])), pa.array(c[pick].astype(np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=list(NAMES))
 
         rows = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], pa.array([r[4] for r in rows], pa.binary())], names=list(NAMES))
-        for i, text in _texts(batches):
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.int64())], names=list(NAMES))
+        for (i, mark), text in _texts(batches, marked=True):
             h = shingle(text)
             f = [int(_signed(np.array([mix(h ^ np.uint64(s)).sum(dtype=np.uint64)]))[0]) for s in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
-            rows.append((i, len(h), *f, bitmap(h).tobytes()))
+            rows.append((i, len(h), *f, bitmap(h).tobytes(), mark))
             kept.append(h)
             size += len(h)
             if len(rows) >= 4096:
@@ -220,7 +221,7 @@ def _profiles(n: int):
     return run
 
 
-NAMES = ("kind", "id", "n", "f1", "f2", "bits")
+NAMES = ("kind", "id", "n", "f1", "f2", "bits", "mark")
 
 
 def _signature_rows(n: int, percent: int, lists):
@@ -365,16 +366,21 @@ def _sets(n: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; two rows link at 100 * shared >= percent * union."""
+def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, mark: str | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; two rows link at 100 * shared >= percent * union.
+
+    ``mark``: a long column that comes back last, to tell rows apart that repeat a doc_id.
+    """
     with small_batches(docs.sparkSession):
-        return _components(docs, words, percent)
+        out = _components(docs, words, percent, mark)
+    return out if mark else out.drop("mark")
 
 
-def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, words: int, percent: int, mark: str | None) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = spool(docs.mapInArrow(_profiles(words), "kind int, id long, n long, f1 long, f2 long, bits binary"), "op2-profiles")
+    marks = (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", marks)
+    prof = spool(docs.mapInArrow(_profiles(words), "kind int, id long, n long, f1 long, f2 long, bits binary, mark long"), "op2-profiles")
     hot = prof.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT_FROM).orderBy(F.desc("c"), "id").limit(MOST_HOT).toArrow()
     hv, hc = hot["id"].to_numpy().view(np.uint64), hot["c"].to_numpy()
     order = np.argsort(hv)
@@ -383,7 +389,7 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     big = reps.where(F.col("copies") >= COPIES_FROM).orderBy(F.desc("copies"), "rep").limit(MOST_HOT).select("f1", "rep").toArrow()
     bo = np.argsort(big["f1"].to_numpy(), kind="stable")
     lists = spark.sparkContext.broadcast((hv[order], hc[order], big["f1"].to_numpy()[bo], big["rep"].to_numpy()[bo]))
-    sigs = docs.mapInArrow(_signature_rows(words, percent, lists), "key long, node long")
+    sigs = docs.select("doc_id", "text").mapInArrow(_signature_rows(words, percent, lists), "key long, node long")
     shared = spool(sigs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, centre long"), "op2-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -443,8 +449,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     own = own.select("f1", "f2", "size", F.coalesce("component", "rep").alias("component"))
     filled, empty = rows.where("n > 0 and id is not null"), rows.where("n = 0 or id is null")
     out = filled.join(own, (filled.f1 == own.f1) & (filled.f2 == own.f2) & (filled.n == own["size"]))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return out.union(empty.select("id", "n", "id"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "mark")
+    return out.union(empty.select("id", "n", "id", "mark"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
