@@ -1,7 +1,8 @@
 """Corpus pipeline: documents to token ids in five stages, each written and read again before the next.
 
-Rows whose doc_id is null pass the join stage unclassed; rows that repeat a doc_id are judged by their own
-text. No stage has a prefix, cap or sample other than the draw of the mixing stage.
+Rows whose doc_id is null pass the join stage unclassed; rows that repeat a doc_id are judged each by their
+own text, and rows equal in both share their fate. Null and empty texts fail the first stage and stay null or
+empty in the others. Empty tables give empty results; extra columns go. No stage has a prefix, cap or sample other than the draw of the mixing stage.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every class at five words and a similarity of 0.8."""
-    classed = ngram_join.jaccard_components(docs, words=5, percent=80)
-    lost = spool(classed.where("component_id <> doc_id").select("doc_id").distinct(), "stage-copies")
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_mark"))
+    classed = ngram_join.jaccard_components(docs, words=5, percent=80, mark="_mark")
+    lost = spool(classed.where("component_id <> doc_id").select("doc_id", F.col("mark").alias("_mark")).distinct(), "stage-copies")
     lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
-    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(lost, ["doc_id", "_mark"], "left_anti").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by probabilities raked to tempered source, language and topic shares."""
-    return mixing.calibrated(docs, temper=0.9).where("_kept").select(*COLUMNS)
+    return mixing.calibrated(docs.select(*COLUMNS), temper=0.9).where("_kept").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
