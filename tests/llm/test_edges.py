@@ -20,7 +20,7 @@ def docs(spark):
 
 def test_join(docs):
     got = Counter(tuple(r) for r in ngram_join.jaccard_components(docs, words=5, percent=80).collect())
-    assert got[1, 41, 1] == 2 and got[None, 41, None] == 1 and got[2, 0, 2] == got[3, 0, 3] == got[4, 1, 4] == 1
+    assert got[1, 40, 1] == 2 and got[None, 40, None] == 1 and got[2, 0, 2] == got[3, 0, 3] == got[4, 1, 4] == 1
 
 
 def test_join_marks_rows(docs):
