@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, text
-from ..operators import documents, errors, evaluate, fusion
+from ..operators import checks, documents, errors, evaluate, fusion
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -318,6 +318,23 @@ def clean_filter(spark, sf_dir):
     return fusion.clean_regions(g.select("stem", "text", "w.*", "alternatives")).select("stem", "id")
 
 
+@query(f"WITH {_E} SELECT stem, source, count(*) AS n FROM e GROUP BY ALL")
+def source_counts(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("stem", "source").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id AS stem, event_id AS id, event_id * 11 % 500 AS a, event_id * 11 % 500 + event_id % 90 AS b, event_id % 3 AS k FROM events)
+SELECT s.stem, s.id, count(p.id) AS pieces, CAST(coalesce(sum(least(s.b, p.b) - greatest(s.a, p.a)), 0) AS BIGINT) AS shared, count(p.id) FILTER (p.k = 1) = 0 AS correct
+FROM e s LEFT JOIN e p ON p.stem = s.stem AND p.k > 0 AND greatest(s.a, p.a) < least(s.b, p.b) WHERE s.k = 0 GROUP BY s.stem, s.id""")
+def span_overlap(spark, sf_dir):
+    e, start = F.col("event_id"), F.col("event_id") * 11 % 500
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("stem"), e.alias("id"), start.alias("start"), (start + e % 90).alias("end"))
+    spans, met = rows.where("id % 3 = 0"), checks.overlaps(rows.where("id % 3 = 0"), rows.where("id % 3 > 0"))
+    met = met.groupBy("stem", "id").agg(F.count("*").alias("pieces"), F.sum(F.col("end") - F.col("start")).alias("shared"), F.count_if(F.col("piece") % 3 == 1).alias("wrong"))
+    out = spans.select("stem", "id").join(met, ["stem", "id"], "left").fillna(0)
+    return out.select("stem", "id", "pieces", "shared", (F.col("wrong") == 0).alias("correct"))
+
+
 @query()
 def merged_regions(spark, sf_dir):
     return fusion.merge_regions(fusion.group_regions(boxes(spark, sf_dir).drop("id")))
