@@ -324,7 +324,7 @@ def source_counts(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT user_id AS stem, event_id AS id, event_id * 11 % 500 AS a, event_id * 11 % 500 + event_id % 90 AS b, event_id % 3 AS k FROM events)
-SELECT s.stem, s.id, count(p.id) AS pieces, CAST(coalesce(sum(least(s.b, p.b) - greatest(s.a, p.a)), 0) AS BIGINT) AS shared, count(p.id) FILTER (p.k = 1) = 0 AS correct
+SELECT s.stem, s.id, count(p.id) AS pieces, CAST(coalesce(sum(least(s.b, p.b) - greatest(s.a, p.a)) FILTER (p.id IS NOT NULL), 0) AS BIGINT) AS shared, count(p.id) FILTER (p.k = 1) = 0 AS correct
 FROM e s LEFT JOIN e p ON p.stem = s.stem AND p.k > 0 AND greatest(s.a, p.a) < least(s.b, p.b) WHERE s.k = 0 GROUP BY s.stem, s.id""")
 def span_overlap(spark, sf_dir):
     e, start = F.col("event_id"), F.col("event_id") * 11 % 500
