@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import spool
 from .pii import _located
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+# '=' belongs to a candidate only as padding at its end: after a name it assigns what follows, a candidate of its own.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?+"
 # Published prefixes of key formats.
 FORMATS = (("aws", r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), ("github", r"^gh[pousr]_[A-Za-z0-9]{36,}$"), ("slack", r"^xox[abprs]-[A-Za-z0-9-]{10,}$"), ("jwt", r"^eyJ[A-Za-z0-9_-]+$"))
 # Common words and word parts, for the share of a candidate that they cover.
@@ -39,7 +40,9 @@ def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     t = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     hits = F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))
     t = t.withColumn("_h", hits).where("size(_h) > 0")
-    x = t.select(*keep, F.explode(_located(F.col("_t"), CANDIDATE, F.col("_h"))).alias("x"))
+    # the text around may hold other candidates, as the name in name=value does
+    around = lambda x: x.withField("p", F.substring("_t", F.greatest(x["s"] - 64, F.lit(0)) + 1, F.least(x["s"], F.lit(64)))).withField("q", F.substring("_t", x["e"] + 1, 64))
+    x = t.select(*keep, F.explode(F.transform(_located(F.col("_t"), CANDIDATE, F.col("_h")), around)).alias("x"))
     return x.select(*keep, F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.t").alias("token"), F.col("x.p").alias("before"), F.col("x.q").alias("after"))
 
 

@@ -228,3 +228,12 @@ def test_forest_removes_false_alarms(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def test_secrets_straight_after_an_equals_sign(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    wide, padded = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA=="
+    rows = [(f"api_key={key}", key), (f"export GITHUB_TOKEN=ghp_{key[:36]}", f"ghp_{key[:36]}"), (f"curl https://h.example/v1?access_token={key}&x=1", key), (f"AWS_SECRET_ACCESS_KEY={wide}", wide), (f"SECRET={padded}\nnext", padded), (f"DATABASE_PASSWORD={key}\nnext", key), (f"commit={key}", None), ("the_quick_brown_function_name=another_plain_function_name", None)]
+    docs = spark.createDataFrame([(k, t, "config/prod.env") for k, (t, _) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: rows[r["doc_id"]][0][r["start"] : r["end"]] for r in secrets.scan(docs).where("secret").collect()}
+    assert got == {k: want for k, (_, want) in enumerate(rows) if want}
