@@ -1,9 +1,12 @@
-"""Alignment and error rates. Distances are the built-in levenshtein; only splits and opcodes need Python."""
+"""Alignment and error rates. Distances are the built-in levenshtein for short texts and bit vectors for whole
+documents; those, splits and opcodes need Python."""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from difflib import Match, SequenceMatcher
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -29,8 +32,14 @@ def split_many(references: list[str], hypotheses: list[str], cells: int = 1 << 1
     """Splits of many pairs, in memory linear in the references, pairs of like lengths side by side.
 
     Cells go by antidiagonals. A cell takes its diagonal neighbour where characters agree, else the first
-    of substitution, deletion, insertion that is minimal, which is the path a backtrace would take.
+    of substitution, deletion, insertion that is minimal, which is the path a backtrace would take. Pairs
+    of more than ``cells`` cells go by bit vectors, with the same path.
     """
+    long = {k: _long_split(r, h) for k, (r, h) in enumerate(zip(references, hypotheses, strict=True)) if len(r) * len(h) > cells}
+    if long:
+        short = [k for k in range(len(references)) if k not in long]
+        long |= dict(zip(short, split_many([references[k] for k in short], [hypotheses[k] for k in short], cells), strict=True))
+        return [long[k] for k in range(len(references))]
     code = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     pairs = [(code(r), code(h)) for r, h in zip(references, hypotheses, strict=True)]
     order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
@@ -79,6 +88,78 @@ def _diagonals(pairs):
     return out
 
 
+def _places(text: str) -> dict[str, int]:
+    """Each character with a bit set at every place where it stands."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {chr(c): int.from_bytes(np.packbits(code == c, bitorder="little").tobytes(), "little") for c in np.unique(code)}
+
+
+def _column(eq: int, vp: int, vn: int, mask: int) -> tuple[int, int, int]:
+    """One column of the matrix: unchanged diagonals, vertical rises and vertical falls, a bit a row (Myers, Hyyrö)."""
+    d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
+    hp = ((vn | (mask ^ (d0 | vp))) << 1) | 1
+    return d0, (((d0 & vp) << 1) | (mask ^ (d0 | (hp & mask)))) & mask, hp & d0
+
+
+def distance(reference: str, hypothesis: str) -> int:
+    """Levenshtein distance of whole texts; what they share at either end costs nothing."""
+    a, b = (reference, hypothesis) if len(reference) >= len(hypothesis) else (hypothesis, reference)
+    lo, n = 0, len(b)
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : n - hi]
+    if not b:
+        return len(a)
+    mask, places = (1 << len(a)) - 1, _places(a)
+    vp, vn = mask, 0
+    for c in b:
+        _, vp, vn = _column(places.get(c, 0), vp, vn, mask)
+    return len(b) + vp.bit_count() - vn.bit_count()
+
+
+def _long_split(a: str, b: str) -> tuple[int, int, int]:
+    """The split of one pair by a backtrace; columns are kept for one block at a time and made again from its left edge."""
+    mask, places, step = (1 << len(a)) - 1, _places(a), isqrt(len(b)) + 1
+    vp, vn, edges = mask, 0, []
+    for j, c in enumerate(b):
+        if j % step == 0:
+            edges.append((vp, vn))
+        _, vp, vn = _column(places.get(c, 0), vp, vn, mask)
+    i, j, s, d = len(a), len(b), 0, 0
+    while i and j:
+        first = (j - 1) // step * step
+        (vp, vn), kept = edges[first // step], []
+        for c in b[first:j]:
+            d0, vp, vn = _column(places.get(c, 0), vp, vn, mask)
+            kept.append((d0, vp))
+        while i and j > first:
+            same, rise = kept[j - 1 - first]
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+            elif not same >> (i - 1) & 1:
+                s, i, j = s + 1, i - 1, j - 1
+            elif rise >> (i - 1) & 1:
+                d, i = d + 1, i - 1
+            else:
+                j -= 1
+    d += i
+    return s, d, len(b) - len(a) + d
+
+
+@F.pandas_udf(T.IntegerType())
+def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for r, h in batches:
+        yield pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(r, h, strict=True)], dtype="Int32")
+
+
+def edit_distance(reference: Column, hypothesis: Column) -> Column:
+    """As the built-in levenshtein, for texts of any length."""
+    return _distance(reference, hypothesis)
+
+
 @F.pandas_udf(SPLIT)
 def _split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for r, h in batches:
@@ -100,14 +181,65 @@ def accuracy(cer: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - cer)
 
 
+class _Gestalt(SequenceMatcher):
+    """The library's matcher without junk; longest matches of large ranges by hashes of windows, checked on the text."""
+
+    def __init__(self, a: str, b: str, cells: int = 1 << 14):
+        super().__init__(None, a, b, autojunk=False)
+        self.cells, n = cells, max(len(a), len(b)) + 1
+        base = 0x9E3779B97F4A7C15
+        powers = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
+        up, self.down = powers(base), powers(pow(base, -1, 1 << 64))
+        self.sums = []
+        for t in (a, b):
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            c = (c ^ (c >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            self.sums.append(np.r_[np.uint64(0), np.cumsum(c * up[: len(c)], dtype=np.uint64)])
+
+    def _windows(self, k: int, lo: int, hi: int, size: int) -> np.ndarray:
+        s = self.sums[k]
+        return (s[lo + size : hi + 1] - s[lo : hi - size + 1]) * self.down[lo : hi - size + 1]
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        if (ahi - alo) * (bhi - blo) <= self.cells:
+            return self._short(alo, ahi, blo, bhi)
+        both = lambda size: np.isin(self._windows(0, alo, ahi, size), self._windows(1, blo, bhi, size), kind="sort")
+        size, over, most = 0, 1, min(ahi - alo, bhi - blo)
+        while over <= most and both(over).any():
+            size, over = over, 2 * over
+        over = min(over, most + 1)
+        while over - size > 1:
+            mid = (size + over) // 2
+            size, over = (mid, over) if both(mid).any() else (size, mid)
+        if not size:
+            return Match(alo, blo, 0)
+        i = int(both(size).argmax())
+        j = blo + int((self._windows(1, blo, bhi, size) == self._windows(0, alo, ahi, size)[i]).argmax())
+        i += alo
+        return Match(i, j, size) if self.a[i : i + size] == self.b[j : j + size] else self._short(alo, ahi, blo, bhi)
+
+    def _short(self, alo, ahi, blo, bhi):
+        places: dict[str, list[int]] = {}
+        for j in range(blo, bhi):
+            places.setdefault(self.b[j], []).append(j)
+        best, runs = (alo, blo, 0), {}
+        for i in range(alo, ahi):
+            now = {}
+            for j in places.get(self.a[i], ()):
+                k = now[j] = runs.get(j - 1, 0) + 1
+                if k > best[2]:
+                    best = (i - k + 1, j - k + 1, k)
+            runs = now
+        return Match(*best)
+
+
 @F.pandas_udf(OPCODES)
 def _opcodes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from difflib import SequenceMatcher
-
     for r, h in batches:
         out = []
         for x, y in zip(r, h, strict=True):
-            ops = SequenceMatcher(None, x or "", y or "", autojunk=False).get_opcodes()
+            ops = _Gestalt(x or "", y or "").get_opcodes()
             out.append([{"tag": t, "i1": a, "i2": b, "j1": c, "j2": d} for t, a, b, c, d in ops])
         yield pd.Series(out)
 
@@ -119,8 +251,6 @@ def opcodes(reference: Column, hypothesis: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from difflib import SequenceMatcher
-
     for a, b in batches:
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 

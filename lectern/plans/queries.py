@@ -1,8 +1,11 @@
 """Queries over the driver's tables for the operators, each beside the SQL that gives the same rows.
 
-There are no recognition tables, so inputs are derived: short runs of words of every document are references and
-edits of them predictions; events are candidate boxes (page = user), parts give image sizes. Texts are
-folded to ASCII where the SQL side measures distances, as its levenshtein counts bytes.
+There are no recognition tables, so inputs are derived: documents are references and edits of them predictions;
+events are candidate boxes (page = user), parts give image sizes. Queries named whole_, opcodes, edit_split and
+error_summary compare every document whole, stem = doc_id, and have no SQL, whose levenshtein is too slow for
+them. Six queries with SQL (cer_*, improvement, ablation_deltas, missing_predictions) compare runs of up to
+twelve words instead, folded to ASCII, as levenshtein there counts bytes: they hold the operators against the SQL
+and are no rates of documents.
 """
 
 from __future__ import annotations
@@ -31,7 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Units of comparison: every text whole, cut into runs of up to twelve words, as distances are quadratic.
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, uncut; in many parts, as one file would else be one task."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("doc_id").cast("string").alias("stem"), "text")
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return d.repartition(n, "stem")
+
+
+#: Units of the queries with SQL: every text in runs of up to twelve words, as its levenshtein is quadratic.
 UNIT = r"(?:\S+\s*){1,12}"
 
 
@@ -141,6 +151,50 @@ def missing_predictions(spark, sf_dir):
     return evaluate.missing(s, predictions(s))
 
 
+def _whole_facts(spark, sf_dir, **options):
+    s = whole(spark, sf_dir).select("stem", "text")
+    return evaluate.edit_statistics(s, predictions(s), compose=False, whole=True, **options)
+
+
+@query()
+def whole_cer_per_document(spark, sf_dir):
+    f = _millionths(_whole_facts(spark, sf_dir), "cer", "character_accuracy")
+    return f.select("stem", "profile", "method", "reference_characters", "hypothesis_characters", "edits", "cer", "character_accuracy")
+
+
+@query()
+def whole_cer_micro_macro(spark, sf_dir):
+    return _millionths(evaluate.aggregate(_whole_facts(spark, sf_dir)), *_MICRO)
+
+
+@query()
+def whole_cer_by_lang_source(spark, sf_dir):
+    f = _whole_facts(spark, sf_dir).where("profile = 'no_whitespace'")
+    named = f.join(whole(spark, sf_dir).select("stem", "lang", "source"), "stem")
+    return named.groupBy("lang", "source", "method").agg(F.count("*").alias("document_count"), F.sum("edits").alias("edits"), F.sum("reference_characters").alias("reference_characters"))
+
+
+@query()
+def whole_improvement(spark, sf_dir):
+    out = evaluate.improvement(evaluate.aggregate(_whole_facts(spark, sf_dir)), "paddleocr_baseline", "ensemble_llm")
+    return _millionths(out, "base_cer", "proposed_cer", "absolute_reduction", "relative_reduction")
+
+
+@query()
+def whole_ablation_deltas(spark, sf_dir):
+    s = whole(spark, sf_dir).select("stem", "text")
+    made = F.array(*[F.struct(F.lit(n).alias("method"), f(F.col("text")).alias("text")) for n, f, _ in _EDITS])
+    p = s.select("stem", F.explode(made).alias("m")).select("stem", "m.*")
+    out = evaluate.ablation(evaluate.aggregate(evaluate.edit_statistics(s, p, compose=False, whole=True)), evaluate.settings(spark))
+    return _millionths(out, "cer", "character_accuracy", "delta_cer_vs_baseline", "delta_cer_vs_parent")
+
+
+@query()
+def whole_missing_predictions(spark, sf_dir):
+    s = whole(spark, sf_dir).select("stem", "text")
+    return evaluate.missing(s, predictions(s))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def stem_filter(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -355,15 +409,13 @@ def turn_pairs(spark, sf_dir):
 
 @query()
 def opcodes(spark, sf_dir):
-    p = sentences(spark, sf_dir).select("stem", "text")
+    p = whole(spark, sf_dir).select("stem", "text")
     return p.select("stem", metrics.opcodes(F.col("text"), F.translate("text", "ao", "@0")).alias("ops"))
 
 
 @query()
 def edit_split(spark, sf_dir):
-    s = sentences(spark, sf_dir)
-    f = evaluate.edit_statistics(s, predictions(s.select("stem", "text")), split=True, compose=False)
-    return evaluate.aggregate(f).select("profile", "method", "substitutions", "deletions", "insertions", "edits")
+    return evaluate.aggregate(_whole_facts(spark, sf_dir, split=True)).select("profile", "method", "substitutions", "deletions", "insertions", "edits")
 
 
 _CASES = [("a", "軟體", "软件", "軟體"), ("b", "法律", "法津", "法律"), ("c", "法律原則", "法律", "法律原則"), ("d", "法律", "法律", "法律新增"), ("e", "法律", "法律", "法津")]
@@ -377,7 +429,7 @@ def error_types(spark, sf_dir):
 
 @query()
 def error_summary(spark, sf_dir):
-    s = sentences(spark, sf_dir)
+    s = whole(spark, sf_dir)
     rows = s.select("stem", F.col("text").alias("reference"), F.replace("text", F.lit("th"), F.lit("h")).alias("raw"), F.translate("text", "q", "k").alias("corrected"))
     return errors.summarize(errors.error_details(rows))
 

@@ -118,3 +118,36 @@ def test_command_line(spark, tmp_path):
     assert got["strict", "paddleocr_baseline"] == 1 and got["strict", "ensemble_llm"] == 0
     cli.main(["correct", "--input", f"{tmp_path}/gt", "--output", f"{tmp_path}/c"])
     assert spark.read.json(f"{tmp_path}/c").first()["corrected_text"] == "abc"
+
+
+def test_whole_documents_against_brute_force(spark, tmp_path):
+    from lectern.plans import registry
+    from tests.test_functions import reference_split
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abehnot中"), 4)) for _ in range(n)) for n in (1, 12, 13, 40, 90)]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda t: t.translate(str.maketrans("ao", "@0"))
+    made = {"paddleocr_baseline": lambda t: t.replace("e", ""), "ensemble_only": lambda t: fold(t) if "th" in t else None, "ensemble_llm": lambda t: t + " end"}
+    bare = {"strict": str.strip, "no_whitespace": lambda t: "".join(t.split())}
+    want = {(str(k), p, m): reference_split(bare[p](t), bare[p](f(t))) for k, t in enumerate(texts) for p in bare for m, f in made.items() if f(t) is not None}
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r["stem"], r["profile"], r["method"]): r["edits"] for r in run("whole_cer_per_document")} == {k: sum(v) for k, v in want.items()}
+    totals = {(p, m): tuple(map(sum, zip(*[v for k, v in want.items() if k[1:] == (p, m)], strict=True))) for _, p, m in want}
+    assert {(r["profile"], r["method"]): (r["substitutions"], r["deletions"], r["insertions"]) for r in run("edit_split")} == totals
+    assert {(r["profile"], r["method"]): (r["document_count"], r["edits"]) for r in run("whole_cer_micro_macro")} == {k: (sum(x[1:] == k for x in want), sum(v)) for k, v in totals.items()}
+    assert {(r["lang"], r["source"], r["method"]): r["edits"] for r in run("whole_cer_by_lang_source")} == {("en", "s", m): sum(v) for (p, m), v in totals.items() if p == "no_whitespace"}
+    assert {r["stem"]: [tuple(o) for o in r["ops"]] for r in run("opcodes")} == {str(k): difflib.SequenceMatcher(None, t, fold(t), autojunk=False).get_opcodes() for k, t in enumerate(texts)}
+    assert {(r["stem"], r["method"]) for r in run("whole_missing_predictions")} == {(str(k), "ensemble_only") for k, t in enumerate(texts) if "th" not in t}
+
+
+def test_long_pairs_against_brute_force():
+    from tests.test_functions import reference_split
+
+    rng = np.random.default_rng(6)
+    for k in range(300):
+        a, b = ("".join(rng.choice(list("ab中 "), rng.integers(0, 25))) for _ in range(2))
+        b = a.replace("a", "") if k % 3 == 0 else b
+        want = reference_split(a, b)
+        assert metrics.distance(a, b) == sum(want) and metrics.split_many([a], [b], 0) == [want]
+        assert metrics._Gestalt(a, b, 0).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
