@@ -427,11 +427,20 @@ def error_types(spark, sf_dir):
     return errors.error_details(rows, {"软件": "軟體"}).select("stem", "error_type", "raw_ocr", "corrected", "success")
 
 
+def _error_rows(spark, sf_dir):
+    s = whole(spark, sf_dir)
+    return s.select("stem", F.col("text").alias("reference"), F.replace("text", F.lit("th"), F.lit("h")).alias("raw"), F.translate("text", "q", "k").alias("corrected"))
+
+
+@query()
+def error_details(spark, sf_dir):
+    """Every error of every derived pair; error_types holds five worked cases against its SQL and reads no table."""
+    return errors.error_details(_error_rows(spark, sf_dir))
+
+
 @query()
 def error_summary(spark, sf_dir):
-    s = whole(spark, sf_dir)
-    rows = s.select("stem", F.col("text").alias("reference"), F.replace("text", F.lit("th"), F.lit("h")).alias("raw"), F.translate("text", "q", "k").alias("corrected"))
-    return errors.summarize(errors.error_details(rows))
+    return errors.summarize(errors.error_details(_error_rows(spark, sf_dir)))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations)

@@ -151,3 +151,11 @@ def test_long_pairs_against_brute_force():
         want = reference_split(a, b)
         assert metrics.distance(a, b) == sum(want) and metrics.split_many([a], [b], 0) == [want]
         assert metrics._Gestalt(a, b, 0).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_error_details_reads_the_table(spark, tmp_path):
+    from lectern.plans import registry
+
+    spark.createDataFrame([(1, "the quick bath", "en", "s"), (2, "no errors", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["error_details"](spark, str(tmp_path)).orderBy("stem", "ord").collect()
+    assert [(r["stem"], r["error_type"], r["example"], r["raw_ocr"], r["corrected"], r["success"]) for r in got] == [("1", "缺字", "GT「t」", "∅", "t", "是"), ("1", "缺字", "GT「t」", "∅", "t", "是")]
