@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--output", required=True)
         c.add_argument("--endpoint", help="chat endpoint; without it the rules alone")
         c.add_argument("--model", default="")
+        if name != "quiz":
+            c.add_argument("--evidence", metavar="FOLDER", help="recognition evidence, *_merged_ocr.json")
         if name == "quiz":
             c.add_argument("--question-count", type=int, default=5)
     return p
@@ -62,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "quiz":
         out = correction.quiz(pages.withColumnRenamed("text", "summary"), client, count=a.question_count)
     else:
-        out = {"correct": correction.correct, "summarize": correction.summarize}[a.command](pages, client)
+        out = {"correct": correction.correct, "summarize": correction.summarize}[a.command](pages, client, evidence=files.evidence(spark, a.evidence) if a.evidence else None)
     sinks.write_json(out, a.output)
 
 

@@ -53,25 +53,48 @@ def ask(rows: DataFrame, client: Callable[[list[dict]], str], column: str = "mes
     return rows.withColumn(column, instructed(F.col(column))).mapInPandas(run, schema).withColumn(into, text.strip_artifacts(F.col(into)))
 
 
-def correct(pages: DataFrame, client: Callable | None, *, most: int = 1000) -> DataFrame:
-    """stem, text to stem, corrected_text, used_llm: clean, chunk, ask, guard each chunk, join in order."""
+def correct(pages: DataFrame, client: Callable | None, *, most: int = 1000, evidence: DataFrame | None = None, reconstruct: bool = True) -> DataFrame:
+    """stem, text to stem, corrected_text, used_llm: clean, chunk, ask, guard each chunk, join in order, rebuild the whole.
+
+    ``evidence`` (stem, regions; a row a stem): its prompts with alternatives stand for the chunks of a page that
+    has any. The whole first pass is asked for once more, kept within 0.65 to 1.65 of its length.
+    """
     clean = pages.select("stem", text.normalize_noise(F.col("text")).alias("clean"))
     if client is None:
         return clean.select("stem", F.col("clean").alias("corrected_text"), F.lit(False).alias("used_llm"))
-    parts = clean.select("stem", F.posexplode_outer(documents.chunks(F.col("clean"), most)).alias("index", "source"))
-    parts = parts.withColumn("messages", F.array(message("system", F.lit("Correct recognition errors only.")), message("user", F.coalesce("source", F.lit("")))))
+    parts = F.transform(documents.chunks(F.col("clean"), most), lambda c: F.struct(c.alias("prompt_text"), c.alias("fallback_text")))
+    if evidence is not None:
+        clean = clean.join(evidence.select("stem", documents.evidence_chunks(F.col("regions")).alias("seen")), "stem", "left")
+        parts = F.when(F.size("seen") > 0, F.col("seen")).otherwise(parts)
+    parts = clean.select("stem", F.posexplode_outer(parts).alias("index", "x")).select("stem", "index", F.col("x.prompt_text").alias("prompt"), F.col("x.fallback_text").alias("source"))
+    parts = parts.withColumn("messages", F.array(message("system", F.lit("Correct recognition errors only.")), message("user", F.coalesce("prompt", F.lit("")))))
     out = ask(parts, client).withColumn("kept", metrics.guarded(F.col("output"), F.col("source"), F.col("source")))
     whole = out.groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "kept"))), lambda x: x["kept"]), "\n").alias("t"), F.max(F.coalesce(F.col("output") == F.col("kept"), F.lit(False))).alias("used_llm"))
+    if reconstruct:
+        whole = whole.withColumn("t", text.strip(F.col("t")))
+        asked = whole.withColumn("messages", F.array(message("system", F.lit("Rebuild the whole note from this first correction: mend remaining errors, breaks and numbering; leave nothing out.")), message("user", F.col("t"))))
+        again = ask(asked, client).withColumn("kept", metrics.guarded(F.col("output"), F.col("t"), F.col("t"), 0.65, 1.65))
+        whole = again.select("stem", F.col("kept").alias("t"), (F.col("used_llm") | F.coalesce(F.col("output") == F.col("kept"), F.lit(False))).alias("used_llm"))
     return whole.select("stem", text.normalize_noise(F.col("t")).alias("corrected_text"), "used_llm")
 
 
-def summarize(pages: DataFrame, client: Callable | None) -> DataFrame:
-    """stem, text to stem, summary and its validation messages; without a client the deterministic summary."""
+def summarize(pages: DataFrame, client: Callable | None, *, evidence: DataFrame | None = None) -> DataFrame:
+    """stem, text to stem, summary and its validation messages; without a client the deterministic summary.
+
+    ``evidence`` (stem, statistics, uncertain; a row a stem): a quality note goes before the text that a client
+    sees, with unknown counts where a page has no evidence.
+    """
     clean = pages.select("stem", text.normalize_noise(F.col("text")).alias("clean"))
     if client is None:
         out = clean.select("stem", documents.fallback_summary(F.col("clean")).alias("summary"))
     else:
-        asked = clean.withColumn("messages", F.array(message("system", F.lit("Summarise the notes under seven level-two headings: " + ", ".join(documents.SUMMARY_SECTIONS))), message("user", F.col("clean"))))
+        said = F.col("clean")
+        if evidence is not None:
+            clean = clean.join(evidence.select("stem", "statistics", "uncertain"), "stem", "left")
+            counts = [F.col("statistics")[k] for k in ("raw_candidate_count", "merged_region_count", "high_confidence_region_count")]
+            clean = clean.select("stem", "clean", text.quality_context(*counts, F.coalesce("uncertain", F.lit(0))).alias("note"))
+            said = F.concat_ws("\n\n", "note", "clean")
+        asked = clean.withColumn("messages", F.array(message("system", F.lit("Summarise the notes under seven level-two headings: " + ", ".join(documents.SUMMARY_SECTIONS))), message("user", said)))
         out = ask(asked, client).select("stem", documents.normalize_summary(F.coalesce("output", F.lit(""))).alias("summary"))
     return out.withColumn("validation_errors", documents.validate_summary(F.col("summary")))
 

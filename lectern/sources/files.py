@@ -60,10 +60,12 @@ def variants(manifest: DataFrame, skip: tuple[str, ...] = ("blue_mask",)) -> Dat
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """stem, statistics and regions: clean results, or merged ones where there are none."""
+    """stem, statistics, regions (clean results, or merged ones where there are none) and how many clean ones are uncertain."""
     d = json_files(spark, folder, EVIDENCE, "_merged_ocr.json")
     clean = F.col("doc.clean_results")
-    return d.select("stem", "doc.statistics", F.when(F.size(clean) > 0, clean).otherwise(F.col("doc.merged_results")).alias("regions"))
+    unsure = lambda r: (F.coalesce(r["confidence"], F.lit(0.0)) < 0.65) | (F.coalesce(F.size(r["alternatives"]), F.lit(0)) > 1)
+    uncertain = F.size(F.filter(F.coalesce(clean, F.array()), unsure))
+    return d.select("stem", "doc.statistics", F.when(F.size(clean) > 0, clean).otherwise(F.col("doc.merged_results")).alias("regions"), uncertain.alias("uncertain"))
 
 
 def preferred(corrected: DataFrame, raw: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 from pathlib import Path
 
 import pytest
@@ -86,3 +87,21 @@ def test_quiz_is_repaired(spark):
     r = correction.quiz(spark.createDataFrame([("a", "## 重點摘要\nx")], "stem string, summary string"), client, repairs=3).first()
     assert r["validation_errors"] in ([], ["缺少小考章節：簡答題答案與解析"])
     assert all(s in r["quiz"] for s in documents.QUESTIONS)
+
+
+def test_correction_sees_evidence_and_rebuilds_the_whole(spark, tmp_path):
+    region = {"id": 1, "text": "法津", "confidence": 0.5, "source": "a", "alternatives": [{"text": "法律", "confidence": 0.4, "source": "b"}]}
+    (tmp_path / "a_merged_ocr.json").write_text(json.dumps({"statistics": {"raw_candidate_count": 7}, "clean_results": [region]}), encoding="utf-8")
+    seen = files.evidence(spark, str(tmp_path))
+    pages = spark.createDataFrame([("a", "法津"), ("b", "one line")], "stem string, text string")
+
+    def client(m):
+        if "Rebuild" in m[0]["content"]:
+            return {"法律": "法律。", "ONE LINE": "ONE LINE " * 9}[m[-1]["content"]]
+        return "法律" if "- 法律 (信心 0.40, 來源 b)" in m[-1]["content"] else m[-1]["content"].upper()
+
+    got = {r["stem"]: r["corrected_text"] for r in correction.correct(pages, client, evidence=seen).collect()}
+    assert got == {"a": "法律。", "b": "ONE LINE"}  # the second rebuilt text is too long
+    said = correction.summarize(pages, lambda m: "## 本頁主題\n" + ("noted" if "原始候選數：7" in m[-1]["content"] and "區域數：1" in m[-1]["content"] else "unknown" if "候選數：未知" in m[-1]["content"] else "none"), evidence=seen)
+    got = {r["stem"]: r["summary"] for r in said.collect()}
+    assert "noted" in got["a"] and "unknown" in got["b"]
