@@ -181,7 +181,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content").mapInArrow(run, RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:

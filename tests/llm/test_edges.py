@@ -83,3 +83,15 @@ def test_vectors(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").withColumns({c: F.lit("7") for c in CLASHING if c != "id"})
     got = {(r["vec_id"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(v).collect()}
     assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)}
+
+
+def test_plain_archives_are_read_too(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a", "<p>x"), (2, "http://b", "<p>y")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "gz"))
+    (tmp_path / "plain").mkdir()
+    for k, f in enumerate((tmp_path / "gz").rglob("*.gz")):
+        (tmp_path / "plain" / f"{k}.warc").write_bytes(gzip.decompress(f.read_bytes()))
+    ids = lambda folder: sorted(r["record_id"] for r in warc.read_archives(spark, str(tmp_path / folder)).select("record_id").collect())
+    assert ids("plain") == ids("gz") and len(ids("plain")) > 2
