@@ -14,10 +14,12 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: the session's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Folder every executor sees: the session's spark.checkpoint.dir; a temporary one only where that is unset, in local mode."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -51,15 +53,34 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+#: Rows of one key that a task joins at most; keys beyond that, the most frequent first, are split by a salt.
+ROWS_A_KEY = 20_000
+MOST_SPLIT = 65_536
+
+
+def join_hot(many: DataFrame, one: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, rows: int = ROWS_A_KEY) -> DataFrame:
+    """Join to a side that is unique in ``on``; a key with more than ``rows`` rows is dealt to several tasks.
+
+    ``counts``: (on, n) of the keys where known; else the rows of every key are counted, by partial aggregates.
+    The list of split keys is bounded and broadcast; past its end the join is the same, only less even.
+    """
+    counts = many.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where((F.col("n") > rows) & F.col(on).isNotNull()).orderBy(F.desc("n"), on).limit(MOST_SPLIT)
+    hot = spool(hot.select(on, F.ceil(F.col("n") / rows).cast("int").alias("_parts")), "hot-keys")
+    if not hot.limit(1).count():
+        return many.join(one, on, how)
+    names = many.columns
+    parts, salt = F.coalesce("_parts", F.lit(1)), F.pmod(F.xxhash64(*names), F.lit(1 << 30))
+    left = many.join(F.broadcast(hot), on, "left").withColumn("_salt", (salt % parts).cast("int")).drop("_parts")
+    right = one.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def first_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.min(value).alias(value))
-
-
 def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from every id that has an edge.
 

@@ -12,14 +12,16 @@ one-deletion neighbourhood. A set that still falls short adds the prefix tokens
 filter. All three rules depend on the set and on one list of frequent shingles only, so no pair is lost
 and the list changes cost alone.
 
-Nodes that share a signature are not paired with each other: first each is paired with one centre of the
-bucket, verified exactly and joined into components; then only pairs of different components in a bucket
-are looked at, in blocks, and those that a parity bitmap cannot rule out are verified exactly.
+A node is a distinct set of shingles; it has a number of its own from the table of distinct sets to the
+answer, so that rows which repeat a doc_id with other texts stay apart. Nodes that share a signature are not
+paired with each other: first each is paired with one centre of the bucket, verified exactly and joined into
+components; then only pairs of different components in a bucket are looked at, by pairs of blocks of the
+bucket, each a task's work, and those that a parity bitmap cannot rule out are verified exactly.
 
 Edge cases: null or empty text, or text without words, has an empty set, n_shingles 0 and is linked with
 nothing; fewer than n words make one shingle; exact copies are one node; rows with a null doc_id keep a
-null component; repeated doc_ids are classed row by row, by their own text; empty tables give empty
-results; extra columns are ignored.
+null component; repeated doc_ids are classed row by row, by their own text, and two such rows may have
+different components; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, spool
+from .common import connected_components, join_hot, small_batches, spool
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,7 +45,12 @@ MOST_HOT = 65_536
 HOT_FROM = 256
 COPIES_FROM = 16
 BLOOM_BITS = 1 << 26
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Shingles whose counts a task carries from chunk to chunk, the most frequent ones.
+CARRIED = 1 << 18
+OFTEN = 8
+#: Nodes of a bucket that one task compares with as many others.
+BLOCK = 4096
 MERGES = 2
 
 
@@ -187,43 +194,60 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+PLACES = [f"b{k}" for k in range(BITMAP_WORDS)]
+NAMES = ("kind", "id", "n", "f1", "f2", "mark", *PLACES)
+PROFILE = "kind int, " + ", ".join(f"{c} long" for c in NAMES[1:])
+PRINTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+
+
+def fingerprints(h: np.ndarray) -> list[int]:
+    """Two sums that tell sets of shingles apart."""
+    return [int(_signed(np.array([mix(h ^ np.uint64(s)).sum(dtype=np.uint64)]))[0]) for s in PRINTS]
+
+
 def _profiles(n: int):
-    """Per document (kind 0) size, two fingerprints, bitmap and mark; per chunk (kind 1) shingles met often, as id and n."""
+    """Per document (kind 0) size, two fingerprints, mark and bitmap; per task (kind 1) shingles met often, as id and n."""
 
     def run(batches):
-        shingle, kept, size = Shingler(n), [], 0
+        shingle, rows, fresh, size = Shingler(n), [], [], 0
+        held, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def count():
+            nonlocal held, counts
+            v, c = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh]), return_counts=True)
+            both, where = np.unique(np.concatenate([held, v]), return_inverse=True)
+            total = np.bincount(where, np.concatenate([counts, c]), len(both)).astype(np.int64)
+            top = np.argpartition(total, len(total) - CARRIED)[-CARRIED:] if len(total) > CARRIED else np.arange(len(total))
+            held, counts = both[top], total[top]
 
-        def often():
-            if kept:
-                v, c = np.unique(np.concatenate(kept), return_counts=True)
-                pick = c >= 8
-                k = int(pick.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(_signed(v[pick])), pa.array(c[pick].astype(np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=list(NAMES))
+        def flush():
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
+            bits = np.array(columns[5:] and columns[5], np.int64).reshape(len(rows), BITMAP_WORDS)
+            first = [pa.array(columns[k], pa.int64()) for k in range(5)]
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), *first, *[pa.array(bits[:, k]) for k in range(BITMAP_WORDS)]], names=list(NAMES))
 
-        rows = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.int64())], names=list(NAMES))
         for (i, mark), text in _texts(batches, marked=True):
             h = shingle(text)
-            f = [int(_signed(np.array([mix(h ^ np.uint64(s)).sum(dtype=np.uint64)]))[0]) for s in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
-            rows.append((i, len(h), *f, bitmap(h).tobytes(), mark))
-            kept.append(h)
+            rows.append((i, len(h), *fingerprints(h), mark, _signed(bitmap(h))))
+            fresh.append(h)
             size += len(h)
             if len(rows) >= 4096:
                 yield flush()
                 rows.clear()
             if size >= CHUNK:
-                yield from often()
-                kept.clear()
+                count()
+                fresh.clear()
                 size = 0
         yield flush()
-        yield from often()
+        count()
+        pick = counts >= OFTEN
+        k = int(pick.sum())
+        nothing = [pa.nulls(k, pa.int64()) for _ in NAMES[3:]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(_signed(held[pick])), pa.array(counts[pick]), *nothing], names=list(NAMES))
 
     return run
 
 
-NAMES = ("kind", "id", "n", "f1", "f2", "bits", "mark")
-
-
 def _signature_rows(n: int, percent: int, lists):
     def run(batches):
         hot, counts, copies, owner = lists.value
@@ -232,13 +256,13 @@ def _signature_rows(n: int, percent: int, lists):
             h = shingle(text)
             if i is None or not len(h):
                 continue
-            node = mix(h ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.uint64).view(np.int64)
+            node = fingerprints(h)[0]
             at = int(np.searchsorted(copies, node))
             if at < len(copies) and copies[at] == node and owner[at] != i:
                 continue  # one copy of a large group speaks for it
             k = signatures(h, bands, hot, counts)
             keys.append(k)
-            nodes.append(np.full(len(k), node))
+            nodes.append(np.full(len(k), node, np.int64))
             size += len(k)
             if size >= 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(nodes))], names=["key", "node"])
@@ -250,50 +274,52 @@ def _signature_rows(n: int, percent: int, lists):
 
 
 def _shared(batches):
-    """Of rows sorted by key and node: those of keys with two or more nodes, with the bucket's first node as centre."""
-    rest = (np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def runs(key, node):
-        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node = key[new], node[new]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[first, len(key)])
-        centre, many = np.repeat(node[first], sizes), np.repeat(sizes > 1, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, centre)], names=["key", "node", "centre"])
-
-    held, size = [rest], 0
+    """Of rows sorted by key and node: those of keys with two or more nodes, with the bucket's first node as centre.
+
+    Runs of any length pass through: of a chunk only its last row is held back, with the centre of its run.
+    """
+    key, node, centre, met = None, None, None, False  # the row held back; met: its run has rows already given
     for b in batches:
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-        size += b.num_rows
-        if size < 500_000:
+        keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if key is not None:
+            keys, nodes = np.r_[key, keys], np.r_[node, nodes]
+        if not len(keys):
             continue
-        key, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield runs(key[:cut], node[:cut])
-        held, size = [(key[cut:], node[cut:])], 0
-    key, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-    if len(key):
-        yield runs(key, node)
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
+        keys, nodes = keys[new], nodes[new]
+        start = np.r_[True, keys[1:] != keys[:-1]]
+        first = np.flatnonzero(start)
+        centres = np.repeat(nodes[first], np.diff(np.r_[first, len(keys)]))
+        many = ~start | np.r_[keys[1:] == keys[:-1], False]
+        if key is not None:
+            centres[: first[1] if len(first) > 1 else len(keys)] = centre
+            many[0] |= met
+        key, node, centre, met = keys[-1], nodes[-1], centres[-1], bool(many[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][many[:-1]]) for x in (keys, nodes, centres)], names=["key", "node", "centre"])
+    last = [x if met else [] for x in ([key], [node], [centre])]
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in last], names=["key", "node", "centre"])
 
 
 def _across(percent: int, nearest: bool):
-    """Pairs of different components within a bucket that the bitmaps cannot rule out; rows come sorted by key.
+    """Pairs of nodes of different components that the bitmaps cannot rule out, within a bucket's pair of blocks.
 
+    Rows come sorted by key, x and y, the numbers of two blocks; equal ones compare a block with itself.
     nearest: of each component but a largest only the pair with most room below its bound, so that a bucket
     gives no more pairs than it has components.
     """
 
-    def bucket(node, comp, n, bits):
+    def bucket(block, node, comp, n, bits):
         names, where, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
         order = np.lexsort((where, sizes[where]))  # members of a largest component come last and never lead
-        node, where, n, bits = node[order], where[order], n[order], bits[order]
+        block, node, where, n, bits = block[order], node[order], where[order], n[order], bits[order]
+        split = block.min() != block.max()
         lead, best = int((where != where[-1]).sum()), {}
         for a in range(lead):
             room = differing(n[a + 1 :] + n[a], 0, percent) - np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(1).astype(np.int64)
-            hit = np.flatnonzero((where[a + 1 :] != where[a]) & (room >= 0))
+            hit = (where[a + 1 :] != where[a]) & (room >= 0)
+            hit = np.flatnonzero(hit & (block[a + 1 :] != block[a]) if split else hit)
             if not len(hit):
                 continue
             if nearest:
@@ -310,27 +336,27 @@ def _across(percent: int, nearest: bool):
         held, last, seen = [], None, set()
 
         def flush():
-            seen.update(bucket(*(np.concatenate([h[k] for h in held]) for k in range(3)), np.concatenate([h[3] for h in held])))
+            seen.update(bucket(*(np.concatenate([h[k] for h in held]) for k in range(5))))
 
         def out():
             a = np.array(sorted(seen), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
         for b in batches:
-            key, node, comp, n = (b.column(k).to_numpy() for k in range(4))
-            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if x == y:
+            key, x, y, block, node, comp, n = (b.column(k).to_numpy() for k in range(7))
+            bits = np.stack([b.column(7 + k).to_numpy() for k in range(BITMAP_WORDS)], 1).view(np.uint64)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1), len(key)]
+            for p, q in zip(cuts, cuts[1:], strict=False):
+                if p == q:
                     continue
-                if last is not None and key[x] != last:
+                if last is not None and (key[p], x[p], y[p]) != last:
                     flush()
                     held.clear()
                     if len(seen) > 100_000:
                         yield out()
                         seen.clear()
-                held.append((node[x:y], comp[x:y], n[x:y], bits[x:y]))
-                last = key[x]
+                held.append((block[p:q], node[p:q], comp[p:q], n[p:q], bits[p:q]))
+                last = key[p], x[p], y[p]
         if held:
             flush()
         yield out()
@@ -352,16 +378,21 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
 
 def _sets(n: int):
     def run(batches):
-        shingle = Shingler(n)
-        for b in batches:
-            ids, sets = [], []
-            for i, text in _texts([b]):
-                ids.append(i)
-                sets.append(_signed(shingle(text)))
-                if sum(map(len, sets[-64:])) > CHUNK or len(ids) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
-                    ids, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+        shingle, rows, size = Shingler(n), [], 0
+        schema = pa.schema([("id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+        def out():
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+        for i, text in _texts(batches):
+            h = shingle(text)
+            rows.append((i, *fingerprints(h), len(h), _signed(h)))
+            size += len(h)
+            if size > CHUNK // 4 or len(rows) >= 512:
+                yield out()
+                rows, size = [], 0
+        yield out()
 
     return run
 
@@ -369,6 +400,7 @@ def _sets(n: int):
 def jaccard_components(docs: DataFrame, *, words: int = 4, percent: int = 85, mark: str | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; two rows link at 100 * shared >= percent * union.
 
+    component_id is the smallest doc_id that has a text of the class.
     ``mark``: a long column that comes back last, to tell rows apart that repeat a doc_id.
     """
     with small_batches(docs.sparkSession):
@@ -380,62 +412,75 @@ def _components(docs: DataFrame, words: int, percent: int, mark: str | None) ->
     spark = docs.sparkSession
     marks = (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", marks)
-    prof = spool(docs.mapInArrow(_profiles(words), "kind int, id long, n long, f1 long, f2 long, bits binary, mark long"), "op2-profiles")
+    prof = spool(docs.mapInArrow(_profiles(words), PROFILE), "op2-profiles")
     hot = prof.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).where(F.col("c") >= HOT_FROM).orderBy(F.desc("c"), "id").limit(MOST_HOT).toArrow()
     hv, hc = hot["id"].to_numpy().view(np.uint64), hot["c"].to_numpy()
     order = np.argsort(hv)
     rows = prof.where("kind = 0")
-    reps = spool(rows.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "op2-groups")
-    big = reps.where(F.col("copies") >= COPIES_FROM).orderBy(F.desc("copies"), "rep").limit(MOST_HOT).select("f1", "rep").toArrow()
+    one = ["f1", "f2", "n"]
+    # the table of nodes: distinct sets, each with a number, the smallest id that has it, and its bitmap
+    reps = rows.where("n > 0 and id is not null").groupBy(*one).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.min(p).alias(p) for p in PLACES])
+    reps = spool(reps.withColumn("nid", F.monotonically_increasing_id()), "op2-nodes")
+    large = reps.where(F.col("copies") >= COPIES_FROM).orderBy(F.desc("copies"), "nid").limit(MOST_HOT)
+    big = large.select("f1", "rep").toArrow()
     bo = np.argsort(big["f1"].to_numpy(), kind="stable")
     lists = spark.sparkContext.broadcast((hv[order], hc[order], big["f1"].to_numpy()[bo], big["rep"].to_numpy()[bo]))
     sigs = docs.select("doc_id", "text").mapInArrow(_signature_rows(words, percent, lists), "key long, node long")
     shared = spool(sigs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, centre long"), "op2-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b) of nodes, as representatives' ids: bitmaps first, then the sets themselves."""
-        node = reps.join(rows.select(F.col("id").alias("rep"), "f1", "f2", "n", "bits").distinct(), ["rep", "f1", "f2", "n"])
-        side = lambda x: node.select(F.col("f1").alias(x), F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+        """Links among pairs (a, b) of fingerprints, as numbers of nodes: bitmaps first, then the sets themselves."""
+        side = lambda x: reps.select(F.col("f1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("f2", "n", "nid", "rep", *PLACES)])
         most = F.expr(f"(a_n + b_n) * {100 - percent} div {100 + percent}")
-        words_of = lambda x: [F.conv(F.substring(F.hex(x), 16 * k + 1, 16), 16, -10).cast("long") for k in range(BITMAP_WORDS)]
-        gap = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(words_of("a_bits"), words_of("b_bits"), strict=True)), F.lit(0))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (F.col("a_id") != F.col("b_id")))
-        near = spool(near.where(gap <= most).select("a_id", "b_id", "a_n", "b_n").distinct(), "op2-near")
-        ids = spool(near.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "op2-ids")
-        table = spark.sparkContext.broadcast(_bloom(ids, "id"))
+        gap = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PLACES), F.lit(0))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (F.col("a_nid") != F.col("b_nid")))
+        near = spool(near.where(gap <= most).select("a_nid", "b_nid", *[F.struct(F.col(x).alias("f1"), *[F.col(f"{x}_{c}").alias(c) for c in ("f2", "n", "nid", "rep")]).alias(x) for x in "ab"]).distinct(), "op2-near")
+        asked = spool(near.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.rep").alias("id"), "x.f1", "x.f2", "x.n", "x.nid").distinct(), "op2-asked")
+        table = spark.sparkContext.broadcast(_bloom(asked, "id"))
         places = [F.pmod(F.xxhash64(F.lit(s), F.col("doc_id")), F.lit(len(table.value) << 5)).alias(f"p{s}") for s in (1, 2, 3)]
 
         def maybe(batches):
             t = table.value
-            for b in batches:
-                hit = np.ones(b.num_rows, bool)
-                for k in (2, 3, 4):
-                    p = b.column(k).to_numpy()
-                    hit &= (t[p >> 5] >> (p & 31)) & 1 == 1
-                yield from run_sets([b.select([0, 1]).filter(pa.array(hit))])
+
+            def asked_rows():
+                for b in batches:
+                    hit = np.ones(b.num_rows, bool)
+                    for k in (2, 3, 4):
+                        p = b.column(k).to_numpy()
+                        hit &= (t[p >> 5] >> (p & 31)) & 1 == 1
+                    yield b.select([0, 1]).filter(pa.array(hit))
+
+            yield from run_sets(asked_rows())
 
         run_sets = _sets(words)
-        sets = docs.where("doc_id is not null").select("doc_id", "text", *places).mapInArrow(maybe, "id long, s array<long>")
-        sets = spool(sets.join(ids, "id", "left_semi").distinct(), "op2-sets")
-        both = near.join(sets.select(F.col("id").alias("a_id"), F.col("s").alias("a_s")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("s").alias("b_s")), "b_id")
+        sets = docs.where("doc_id is not null").select("doc_id", "text", *places).mapInArrow(maybe, "id long, f1 long, f2 long, n long, s array<long>")
+        # a row that repeats an asked id with another text has other fingerprints and goes
+        sets = spool(sets.join(asked, ["id", *one]).select("nid", "s").dropDuplicates(["nid"]), "op2-sets")
+        pair = near.select("a_nid", "b_nid")
+        both = join_hot(pair, sets.select(F.col("nid").alias("a_nid"), F.col("s").alias("a_s")), "a_nid").join(sets.select(F.col("nid").alias("b_nid"), F.col("s").alias("b_s")), "b_nid")
         same = F.size(F.array_intersect("a_s", "b_s"))
-        return both.where(100 * same >= percent * (F.size("a_s") + F.size("b_s") - same)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+        return both.where(100 * same >= percent * (F.size("a_s") + F.size("b_s") - same)).select(F.col("a_nid").alias("u"), F.col("b_nid").alias("v"))
 
     star = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = spool(verified(star), "op2-links")
     comps = spool(connected_components(links), "op2-comps")
     # Second look: buckets that still hold several components
     def of_node(comps):
-        c = reps.select(F.col("f1").alias("node"), F.col("rep").alias("id")).join(comps, "id", "left")
+        c = reps.select(F.col("f1").alias("node"), F.col("nid").alias("id")).join(comps, "id", "left")
         return c.groupBy("node").agg(F.min(F.coalesce("component", "id")).alias("comp"))
 
     placed = shared.select("key", "node").join(of_node(comps), "node")
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    bits = rows.where("n > 0").groupBy(F.col("f1").alias("node")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    still = spool(shared.select("key", "node").join(split, "key", "left_semi").join(bits, "node").select("key", "node", "n", "bits"), "op2-open")
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many")).where("x <> y").select("key", "many")
+    bits = reps.groupBy(F.col("f1").alias("node")).agg(*[F.min(c).alias(c) for c in ("n", *PLACES)])
+    still = shared.select("key", "node").join(split, "key").join(bits, "node")
+    # a bucket beyond BLOCK nodes is cut into blocks by a hash of the node; each pair of its blocks is a group of its own
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    still = still.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    still = spool(still.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "n", *PLACES), "op2-open")
 
     def across(comps, nearest):
-        looked = still.join(of_node(comps), "node").select("key", "node", "comp", "n", "bits").repartition("key").sortWithinPartitions("key")
+        looked = still.join(of_node(comps), "node").select("key", "x", "y", "block", "node", "comp", "n", *PLACES)
+        looked = looked.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
         return spool(looked.mapInArrow(_across(percent, nearest), "a long, b long").distinct(), "op2-across")
 
     # rounds that join each component to its nearest keep the pairs few; the last look takes all that are left
@@ -445,12 +490,21 @@ def _components(docs: DataFrame, words: int, percent: int, mark: str | None) ->
         if found is not None and found.limit(1).count():
             links = links.union(found)
             comps = spool(connected_components(links), "op2-comps")
-    own = reps.select("f1", "f2", F.col("n").alias("size"), "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    own = own.select("f1", "f2", "size", F.coalesce("component", "rep").alias("component"))
+    return _answer(rows, reps, comps, one)
+
+
+def _answer(rows: DataFrame, reps: DataFrame, comps: DataFrame, one: list[str]) -> DataFrame:
+    """Every row with the smallest doc_id of its node's component; large groups of copies meet a broadcast table."""
+    own = reps.select(*one, "rep", "copies", F.col("nid").alias("id")).join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    own = spool(join_hot(own, least, "component").select(*one, "copies", "component_id"), "op2-own")
     filled, empty = rows.where("n > 0 and id is not null"), rows.where("n = 0 or id is null")
-    out = filled.join(own, (filled.f1 == own.f1) & (filled.f2 == own.f2) & (filled.n == own["size"]))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "mark")
-    return out.union(empty.select("id", "n", "id", "mark"))
+    filled = filled.select("id", *one, "mark")
+    large = own.where(F.col("copies") >= COPIES_FROM).orderBy(F.desc("copies"), *one).limit(MOST_HOT).select(*one, F.col("component_id").alias("_near"))
+    met = filled.join(F.broadcast(large), one, "left")
+    out = met.where("_near is null").drop("_near").join(own.select(*one, "component_id"), one).select("id", "n", "component_id", "mark")
+    out = out.union(met.where("_near is not null").select("id", "n", "_near", "mark")).union(empty.select("id", "n", "id", "mark"))
+    return out.toDF("doc_id", "n_shingles", "component_id", "mark")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
