@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and contextual patterns bootstrapped from what those find.
 
 The base kinds are regular expressions whose matches are kept or dropped whole. Their spans seed a graph
-of instances (identifier-like tokens) and lexical patterns (the word before, the word after). Each round
+of instances (identifier-like tokens, which hold a digit) and lexical patterns (the word before, the two words
+before, the word after). Each round
 scores a pattern by the share of all its occurrences in the corpus that stand beside scored instances, and
 an instance by its patterns; patterns that stay sure and well supported discover identifiers that the base
 kinds do not cover. Everything is built-in column expressions, joins and aggregates.
@@ -54,18 +55,62 @@ def _valid(kind: str, t: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, hits: Column) -> Column:
-    """Matches with their places: what stands between them has the rest of the lengths."""
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int,t:string,p:string,q:string>>").alias("out"))
+#: Items that one step of a running sum takes; sums over an array go in runs of so many.
+RUN = 256
+SPAN = "array<struct<s:int,e:int,t:string,p:string,q:string>>"
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often the body or its lambdas name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """An array cut into arrays of RUN items."""
+    n = F.size(items)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda k: F.slice(items, k * RUN + 1, F.lit(RUN))))
+
+
+def _located(text: Column, pattern: str, hits: Column, wide: bool = False) -> Column:
+    """Matches with their places: what stands between them has the rest of the lengths.
+
+    p and q: up to 64 characters before and after, as far as the next match, or over matches too if ``wide``
+    (of at least 16 characters each). Work is linear in the text and all but linear in the number of matches.
+    """
+
+    def around(pieces, found, i):
+        back, ahead = [], []
+        for k in range(4 if wide else 0, -1, -1):
+            back += [F.get(found, i - k - 1)] * (k < 4 and wide) + [F.get(pieces, i - k)]
+        for k in range(5 if wide else 1):
+            ahead += [F.get(pieces, i + k + 1)] + [F.get(found, i + k + 1)] * (k < 4 and wide)
+        last = lambda x: F.substring(F.coalesce(x, F.lit("")), -64, 64)
+        first = lambda x: F.substring(F.coalesce(x, F.lit("")), 1, 64)
+        return last(F.concat(*map(last, back))), first(F.concat(*map(first, ahead)))
+
+    def item(pieces, found, t, i):
+        p, q = around(pieces, found, i)
+        return F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(t).alias("n"), t.alias("t"), p.alias("p"), q.alias("q"))
 
     def step(acc, x):
-        s = acc["pos"] + F.length(x["p"])
-        row = F.struct(s.alias("s"), (s + F.length(x["t"])).alias("e"), x["t"].alias("t"), F.substring(x["p"], -64, 64).alias("p"), F.substring(x["q"], 1, 64).alias("q"))
-        return F.struct((s + F.length(x["t"])).alias("pos"), F.concat(acc["out"], F.array(row)).alias("out"))
+        s = acc["pos"] + x["gap"]
+        row = F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["t"].alias("t"), x["p"].alias("p"), x["q"].alias("q"))
+        return F.struct((s + x["n"]).alias("pos"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    zipped = F.transform(hits, lambda t, i: F.struct(F.get(pieces, i).alias("p"), t.alias("t"), F.get(pieces, i + 1).alias("q")))
-    return F.when(F.size(hits) > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(start["out"])
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+
+    def joined(acc, r):
+        moved = F.transform(r["out"], lambda x: F.struct((x["s"] + acc["pos"]).alias("s"), (x["e"] + acc["pos"]).alias("e"), x["t"].alias("t"), x["p"].alias("p"), x["q"].alias("q")))
+        return F.struct((acc["pos"] + r["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed(both):
+        items = F.transform(both["found"], lambda t, i: item(both["pieces"], both["found"], t, i))
+        runs = bound(items, lambda xs: F.transform(_runs(xs), lambda r: F.aggregate(r, start, step)))
+        begin = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.flatten(F.aggregate(runs, begin, joined, lambda a: a["out"]))
+
+    return F.when(F.size(hits) > 0, bound(F.struct(F.split(text, pattern, -1).alias("pieces"), hits.alias("found")), placed)).otherwise(none)
 
 
 def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -75,14 +120,12 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     gate = {"email": "@", "phone": "+"}
     none = F.array().cast("array<string>")
     hits = [F.when(F.contains("_t", F.lit(gate[k])), every(p)).otherwise(none).alias(f"_{k}") if k in gate else every(p).alias(f"_{k}") for k, p in zip(KINDS, PATTERNS, strict=False)]
-    tokens = F.filter(every(TOKEN), lambda t: F.length(_digits(t)) >= 4)
-    d = d.select(*keep, "_t", *hits, F.size(tokens).alias("_n"))
+    d = d.select(*keep, "_t", *hits, every(TOKEN).alias("_tokens"))
     out = []
     for k, p in zip(KINDS, PATTERNS, strict=False):
         out.append(_only(k, _located(F.col("_t"), p, F.col(f"_{k}"))).alias(k))
-    wide = _located(F.col("_t"), TOKEN, every(TOKEN))
-    wide = F.when(F.col("_n") > 0, F.filter(wide, lambda x: F.length(_digits(x["t"])) >= 4)).otherwise(F.array().cast("array<struct<s:int,e:int,t:string,p:string,q:string>>"))
-    return d.select(*keep, F.monotonically_increasing_id().alias("row"), *out, wide.alias("token"))
+    out.append(_located(F.col("_t"), TOKEN, F.col("_tokens")).alias("token"))
+    return d.select(*keep, F.monotonically_increasing_id().alias("row"), *out)
 
 
 def _only(kind: str, spans: Column) -> Column:
@@ -90,37 +133,50 @@ def _only(kind: str, spans: Column) -> Column:
 
 
 def _around(s: Column) -> Column:
-    """Lexical patterns of one span: the words before and after it."""
-    left = F.lower(F.regexp_extract(s["p"], rf"({WORD})[^\p{{L}}\p{{N}}]*+$", 1))
-    right = F.lower(F.regexp_extract(s["q"], rf"^[^\p{{L}}\p{{N}}]*+({WORD})", 1))
-    return F.array(F.concat(F.lit("L:"), left), F.concat(F.lit("R:"), right))
+    """Lexical patterns of one span: the word before, the two words before, the word after."""
+    gap = r"[^\p{L}\p{N}]*+"
+    left, right = F.lower(F.regexp_extract(s["p"], rf"({WORD}){gap}$", 1)), F.lower(F.regexp_extract(s["q"], rf"^{gap}({WORD})", 1))
+    two = F.lower(F.regexp_replace(F.regexp_extract(s["p"], rf"({WORD}[^\p{{L}}\p{{N}}]++{WORD}){gap}$", 1), r"[^\p{L}\p{N}]+", " "))
+    return F.array(F.concat(F.lit("L:"), left), F.concat(F.lit("M:"), two), F.concat(F.lit("R:"), right))
+
+
+def _occurrences(docs: DataFrame, asked: DataFrame, pairs: bool) -> DataFrame:
+    """word (or two words), total: places in all texts where the asked ones stand."""
+    words = docs.select(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
+    if pairs:
+        two = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        words = words.select(F.concat("w", F.slice(two, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("w"))
+    words = words.select(F.explode("w").alias("word"))
+    if asked.count() <= BROADCAST_ROWS:
+        return words.join(F.broadcast(asked), "word").groupBy("word").agg(F.count("*").alias("total"))
+    # beyond the bound words are counted first, each task its own, so that a common word is a row a task
+    return words.groupBy("word").agg(F.count("*").alias("total")).join(asked, "word")
 
 
 def discover(
-    found: DataFrame, docs: DataFrame, *, rounds: int = 3, min_seeds: int = 5, min_pattern: float = 0.5, min_instance: float = 0.8
+    found: DataFrame, docs: DataFrame, *, rounds: int = 3, min_seeds: int = 3, min_pattern: float = 0.5, min_instance: float = 0.8
 ) -> DataFrame | None:
     """(row, s, e) of identifiers beside sure patterns; None where no pattern has enough seeds.
 
     A pattern needs ``min_seeds`` distinct sure instances and a share of ``min_pattern`` of all places where
-    its word occurs in the corpus; an instance needs ``min_instance``. All documents count.
+    its words occur in the corpus; an instance needs ``min_instance``, which one pattern gives that always, or
+    several that mostly, stand beside sure instances. All documents count.
     """
-    base = F.flatten(F.array(*[F.col(k) for k in KINDS[:4]]))
-    overlaps = lambda x: F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    spans = found.select("row", F.explode(F.concat(
-        F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _around(x).alias("c"), F.lit(1.0).alias("seed"))),
-        F.transform(F.filter("token", lambda x: ~overlaps(x)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _around(x).alias("c"), F.lit(0.0).alias("seed"))),
-    )).alias("x")).select("row", "x.*").withColumn("t", F.lower("t"))
-    spans = spool(spans, "op6-spans")
+    base = F.array_sort(F.flatten(F.array(*[F.col(k) for k in KINDS[:4]])))
+    row = lambda x, seed: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _around(x).alias("c"), F.lit(seed).alias("seed"))
+    meets = lambda x, b: (b["s"] < x["e"]) & (x["s"] < b["e"])
+    # base spans in runs with their extent, so that a token looks into few of them
+    runs = F.transform(_runs(base), lambda r: F.struct(F.get(r, F.lit(0))["s"].alias("s"), F.array_max(F.transform(r, lambda x: x["e"])).alias("e"), r.alias("r")))
+    taken = lambda x, rs: F.coalesce(F.exists(rs, lambda r: meets(x, r) & F.exists(r["r"], lambda b: meets(x, b))), F.lit(False))
+    free = bound(runs, lambda rs: F.filter("token", lambda x: ~taken(x, rs)))
+    spans = found.select("row", F.explode(F.concat(F.transform(base, lambda x: row(x, 1.0)), F.transform(free, lambda x: row(x, 0.0)))).alias("x"))
+    spans = spool(spans.select("row", "x.*").withColumn("t", F.lower("t")), "op6-spans")
     edges = spool(spans.select("t", "seed", F.explode("c").alias("pattern")).where("length(pattern) > 2").groupBy("t", "pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "op6-edges")
     induced = edges.where("seed > 0").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
     induced = spool(induced.withColumn("word", F.expr("substr(pattern, 3)")), "op6-induced")
-    asked = induced.select("word").distinct()
-    size = asked.count()
-    if not size:
+    if not induced.limit(1).count():
         return None
-    asked = F.broadcast(asked) if size <= BROADCAST_ROWS else asked
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("word"))
-    total = words.join(asked, "word").groupBy("word").agg(F.count("*").alias("total"))
+    total = _occurrences(docs, induced.select("word").distinct(), induced.where("pattern like 'M:%'").limit(1).count() > 0)
     patterns = spool(induced.join(total, "word").select("pattern", "total"), "op6-patterns")
     edges = spool(edges.join(patterns, "pattern"), "op6-graph")
     score = edges.groupBy("t").agg(F.max("seed").alias("score"))
@@ -161,21 +217,34 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """Text with every span replaced by its kind in brackets; of overlapping spans the first leads."""
+    """Text with every span replaced by its kind in brackets; of overlapping spans the first leads.
+
+    The text is cut once a run of spans and each run's part once a span, so work grows linearly in both.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    cut = lambda t, a, b: F.substring(t, a + 1, b - a)
 
-    def step(acc, x):
-        put = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), F.get(names, x["k"]))
+    def lead(acc, x):
         fresh = x["s"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(fresh, put).otherwise(acc["out"]).alias("out"))
+        kept = F.when(fresh, F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("from"), x["s"].alias("s"), x["k"].alias("k"))))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), kept.alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<from:int,s:int,k:int>>").alias("out"))
+
+    def spelled_out(a):
+        def run(r):
+            low, high = F.get(r, F.lit(0))["from"], F.element_at(r, -1)["s"]
+            part = lambda t: F.array_join(F.transform(r, lambda x: F.concat(cut(t, x["from"] - low, x["s"] - low), F.get(names, x["k"]))), "")
+            return bound(cut(text, low, high), part)
+
+        return F.concat(F.array_join(F.transform(_runs(a["out"]), run), ""), F.substring(text, a["pos"] + 1, F.length(text)))
 
-    rest = lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, bound(F.aggregate(spans, start, lead), spelled_out)).otherwise(text)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: spans of personal data in all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = find_spans(docs.select("doc_id", "text"), ["doc_id"])
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+    counts = [f"n_{k}" for k in KINDS[:4]]
+    return out.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
