@@ -41,8 +41,7 @@ def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     hits = F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))
     t = t.withColumn("_h", hits).where("size(_h) > 0")
     # the text around may hold other candidates, as the name in name=value does
-    around = lambda x: x.withField("p", F.substring("_t", F.greatest(x["s"] - 64, F.lit(0)) + 1, F.least(x["s"], F.lit(64)))).withField("q", F.substring("_t", x["e"] + 1, 64))
-    x = t.select(*keep, F.explode(F.transform(_located(F.col("_t"), CANDIDATE, F.col("_h")), around)).alias("x"))
+    x = t.select(*keep, F.explode(_located(F.col("_t"), CANDIDATE, F.col("_h"), wide=True)).alias("x"))
     return x.select(*keep, F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.t").alias("token"), F.col("x.p").alias("before"), F.col("x.q").alias("after"))
 
 
