@@ -2,14 +2,15 @@
 
 The writer makes three records a capture: a request, a response (or a revisit, where an earlier page has
 the same payload) and metadata; request and metadata name the response by WARC-Concurrent-To. Spark's text
-sink writes them gzipped, a record's closing blank lines being the line separator. The reader parses whole
-files by Content-Length, plain or gzipped in any number of members, so payloads may hold anything. The
+sink writes them gzipped, a record's closing blank lines being the line separator. Captures are written by
+size class, each with as many to a file as keep its payloads below FILE_BYTES, so that an archive fits a
+reader's memory. The reader parses whole files by Content-Length, plain or gzipped in any number of members, so payloads may hold anything. The
 transaction of a record is the record it is concurrent to, itself for responses and revisits; one
 aggregation by that id makes the nested row, and revisits take length and digest from what they refer to.
 
 Edge cases: null html is an empty payload; payloads below ``least`` bytes are never revisits; of equal
 payloads the smallest page_id is the response, also if it comes twice; null ids and urls are written as
-empty fields and read as null; rows equal in page_id, url and payload are one capture; records without a
+empty fields and read as null; repeated rows are captures of their own; records without a
 partner still make a row, with nulls; a file that ends within a record is an error; empty tables give no
 archives and an empty result; extra columns are ignored.
 """
@@ -26,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, spool
+from .common import join_hot, shared_dir, small_batches, spool
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,13 +35,15 @@ END = "\r\n"
 GAP = END + END
 #: Tables of first pages up to this size are broadcast to the writer; beyond, the pages are shuffled once.
 MOST_BROADCAST = 100_000
-FILE_RECORDS = 20_000
+#: Payload bytes of an archive at most, but for single larger pages; size classes of pages, by the bytes of their largest.
+FILE_BYTES = 1 << 26
+CLASSES = (1 << 12, 1 << 16, 1 << 20)
 DATE = "2024-01-01T00:00:00Z"  # pages carry no capture time; a fixed one keeps the archives repeatable
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _urn(kind: str, *of: Column) -> Column:
-    """Record id from kind and content, so that rewriting gives the same archive."""
+    """Record id from kind and content."""
     h = F.md5(F.concat_ws("\n", F.lit(kind), *[F.coalesce(c.cast("string"), F.lit("")) for c in of]))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
@@ -55,17 +58,32 @@ def _record(kind: Column, record: Column, block: Column, content: str, fields: l
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
-    """Archives of all pages (page_id, url, html) under ``path``, gzipped, at most FILE_RECORDS captures a file."""
+    """Archives of all pages (page_id, url, html) under ``path``, gzipped, a folder a size class."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload"), "digest": F.sha2("payload", 256)})
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kind = F.lit(len(CLASSES))
+    for k in range(len(CLASSES) - 1, -1, -1):
+        kind = F.when(F.col("size") <= CLASSES[k], k).otherwise(kind)
+    first = rows.groupBy("digest", kind.alias("kind"), F.col("size")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = spool(first, "op8-first")
-    first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
-    # the writer needs the digest once more; the join sees it as a plain column of the scan's projection
-    rows = rows.join(first, "digest", "left").withColumn("again", F.coalesce((F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
+    kinds = [r["kind"] for r in first.select("kind").distinct().collect()]  # at most one row a class
+    twice = first.where((F.col("size") >= least) & (F.col("n") > 1))
+    few = twice.count() <= MOST_BROADCAST
+    for k in kinds:
+        at_most = max(1, FILE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        met, some = rows.where(kind == k), twice.where(F.col("kind") == k)
+        low = some.select("digest", "first")
+        met = met.join(F.broadcast(low), "digest", "left") if few else join_hot(met, low, "digest", "left", some.select("digest", "n"))
+        _write(met, f"{path}/class-{k}", least, at_most)
+
+
+def _write(rows: DataFrame, path: str, least: int, at_most: int) -> None:
+    rows = rows.withColumn("again", F.coalesce((F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
     # line breaks cannot stand in a header; the exact url is in the metadata block
     url = F.regexp_replace("url", r"[\x00-\x20]+", "%20")
-    own = _urn("response", F.col("page_id"), F.col("url"), F.col("digest"))
+    # a task numbers its rows, so that repeated rows do not share ids; all records of a capture are made in one row
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    own = _urn("response", F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth"))
     held = _urn("held", F.col("first"), F.col("digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size").cast("string"), F.lit(GAP))
     target = ("WARC-Target-URI", url)
@@ -74,12 +92,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
         [target, ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), ("WARC-Profile", F.when(F.col("again"), PROFILE)), ("WARC-Refers-To", F.when(F.col("again"), held))],
     )
     ask = F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(f" HTTP/1.1{GAP}"))
-    request = _record(F.lit("request"), _urn("request", F.col("page_id"), F.col("url"), F.col("digest")), ask, "application/http;msgtype=request", [target, ("WARC-Concurrent-To", own)])
+    request = _record(F.lit("request"), _urn("request", F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth")), ask, "application/http;msgtype=request", [target, ("WARC-Concurrent-To", own)])
     # the id under which revisits find this page: of equal payloads only the first one's is used
     note = F.to_json(F.struct("page_id", "url", _urn("held", F.col("page_id"), F.col("digest")).alias("held")))
-    meta = _record(F.lit("metadata"), _urn("metadata", F.col("page_id"), F.col("url"), F.col("digest")), note, "application/json", [target, ("WARC-Concurrent-To", own)])
+    meta = _record(F.lit("metadata"), _urn("metadata", F.col("page_id"), F.col("url"), F.col("digest"), F.col("nth")), note, "application/json", [target, ("WARC-Concurrent-To", own)])
     text = F.concat_ws(GAP, request, main, meta)
-    rows.select(text.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(text.alias("value")).write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", at_most).text(path)
 
 
 def _plain(data: bytes):
@@ -198,7 +216,7 @@ def captures(nested: DataFrame) -> DataFrame:
     note = F.from_json("metadata.note", "page_id long, url string, held string")
     c = nested.select(note.alias("n"), F.col("response").alias("r")).select("n.page_id", "n.url", "n.held", F.col("r.type").alias("record_type"), F.col("r.refers_to").alias("ref"), F.col("r.payload_bytes").alias("b"), F.col("r.payload_digest").alias("d"))
     kept = c.where("record_type = 'response'").select(F.col("held").alias("ref"), F.col("page_id").alias("first"), F.col("b").alias("fb"), F.col("d").alias("fd")).groupBy("ref").agg(F.max("first").alias("first"), F.max("fb").alias("fb"), F.max("fd").alias("fd"))
-    again = c.where("record_type = 'revisit'").join(kept, "ref", "left").select("page_id", "url", F.col("fb").alias("payload_bytes"), F.col("fd").alias("payload_digest"), "record_type", F.col("first").alias("refers_to"))
+    again = join_hot(c.where("record_type = 'revisit'").select("page_id", "url", "ref", "record_type"), kept, "ref", "left").select("page_id", "url", F.col("fb").alias("payload_bytes"), F.col("fd").alias("payload_digest"), "record_type", F.col("first").alias("refers_to"))
     return c.where("record_type = 'response'").select("page_id", "url", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")).union(again)
 
 
