@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import join_hot, spool
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -122,7 +122,8 @@ def format_forest(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what a segment's first node hangs from: for each segment above, how far down the path it goes
     heads = placed.where("head and depth > 0").select(F.col("start").alias("at"), "cid", "depth")
     above = heads.join(convs.select("cid", F.transform("nodes", lambda n: n["node"]).alias("p")), "cid").select("at", F.explode(F.expr("slice(p, 1, depth)")).alias("node"))
-    above = above.join(placed.select("node", "segment", "stop"), "node").groupBy("at", "segment").agg(F.max("stop").alias("stop"))
+    above = spool(above, "op9-above")
+    above = join_hot(above, placed.select("node", "segment", "stop"), "node").groupBy("at", "segment").agg(F.max("stop").alias("stop"))
     above = above.groupBy("at").agg(F.array_sort(F.collect_list(F.struct(F.col("segment").alias("start"), "stop"))).alias("ancestors"))
     loss = F.struct((F.col("start") + F.col("loss_start")).alias("start"), (F.col("start") + F.col("loss_end")).alias("stop"))
     whole = placed.groupBy("segment").agg(
@@ -136,16 +137,18 @@ def format_forest(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     stream = spool(stream, "op9-stream")
     last = convs.select("conv_id", F.element_at("nodes", -1)["node"].alias("node"))
-    leaves = last.join(placed.select("node", "segment", "stop"), "node").select("conv_id", F.col("segment").alias("start"), "stop")
+    leaves = join_hot(last, placed.select("node", "segment", "stop"), "node").select("conv_id", F.col("segment").alias("start"), "stop")
     return stream, leaves
 
 
 def read_back(stream: DataFrame, leaves: DataFrame) -> DataFrame:
     """conv_id, formatted text and loss intervals within it, from the stream alone."""
-    rows = leaves.withColumnRenamed("stop", "until").join(stream.select("start", "ancestors"), "start").withColumn("_c", F.monotonically_increasing_id())
+    leaves = leaves.withColumnRenamed("stop", "until").withColumn("_c", F.monotonically_increasing_id())
+    rows = join_hot(spool(leaves, "op9-leaves"), stream.select("start", "ancestors"), "start")
     spans = F.concat("ancestors", F.array(F.struct("start", F.col("until").alias("stop"))))
     rows = spool(rows.select("_c", "conv_id", F.explode(spans).alias("s")).select("_c", "conv_id", F.col("s.start").alias("start"), F.col("s.stop").alias("until")), "op9-spans")
-    parts = rows.join(stream.select("start", "text", "position", "loss"), "start")
+    # a segment that many conversations share repeats once a salt, not once a conversation, before it meets them
+    parts = join_hot(rows, stream.select("start", "text", "position", "loss"), "start")
     shift = F.col("position") - F.col("start")
     heard = F.filter("loss", lambda x: x["stop"] <= F.col("until"))
     heard = F.transform(heard, lambda x: F.struct((x["start"] + shift).alias("x"), (x["stop"] + shift).alias("y")))
