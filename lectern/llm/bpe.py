@@ -124,6 +124,18 @@ def codec(path: str) -> Codec:
     return held[path]
 
 
+def _by_size(batch: pa.RecordBatch, made, most: int = 1 << 20):
+    """Slices of a batch with what was made of their rows, cut once that adds up to ``most`` items; Spark bounds a batch's own bytes."""
+    held, size, at = [], 0, 0
+    for x in made:
+        held.append(x)
+        size += len(x)
+        if size >= most:
+            yield batch.slice(at, len(held)), held
+            at, held, size = at + len(held), [], 0
+    yield batch.slice(at, len(held)), held
+
+
 def encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ids of every whole text."""
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -131,8 +143,8 @@ def encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)) -
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids = [c.encode(t or "") for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            for part, ids in _by_size(b, (c.encode(t.as_py() or "") for t in b.column(len(keep)))):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -144,8 +156,8 @@ def decode(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",)
     def run(batches):
         c = codec(path)
         for b in batches:
-            text = [c.decode(i or []) for i in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(text, pa.string())], names=[*keep, "text"])
+            for part, text in _by_size(b, (c.decode(i.as_py() or []) for i in b.column(len(keep)))):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(text, pa.string())], names=[*keep, "text"])
 
     return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, schema)
 
