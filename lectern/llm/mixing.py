@@ -8,11 +8,14 @@ is repeatable and needs no shuffle. Topic is a surface class of the text (see ``
 Edge cases: null source, language or text count as "" and belong to that class; documents without words
 carry no tokens and follow their cell, with probability 0 where the whole cell has no tokens; targets are
 shares tempered from the corpus unless given, targets of absent classes are ignored; rows with equal ids
-share one draw, null ids draw as ""; empty tables give empty results; other columns are kept as they are, but for those the operator adds by name.
+share one draw, null ids draw as ""; targets that no weights meet leave the last round's weights, with a
+warning that names the largest deviation; empty tables give empty results; other columns are kept as they are, but for those the operator adds by name.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ MARGINS = ("source", "lang", "topic")
 #: Cells beyond this are raked over shuffled partitions and joined, not broadcast.
 MOST_BROADCAST = 20_000
 EVERY = 4
+#: Relative deviation of a margin from its target that passes without a warning.
+TOLERANCE = 0.01
 HEX = 13
 
 
@@ -75,10 +80,21 @@ def rake(cells: DataFrame, *, temper: float = 0.7, rounds: int = 12, targets: di
             cells = cells.withColumn("weight", F.col("weight") * F.col(f"goal_{m}") / now)
         if (k + 1) % EVERY == 0 or not small:
             cells = spool(cells, "op4-raked")
+    if (off := deviation(cells)) > TOLERANCE:
+        warnings.warn(f"after {rounds} rounds a margin is still {off:.3g} of its target off", stacklevel=2)
     top = cells.agg(F.max("weight").alias("_top"))
     return cells.join(F.broadcast(top)).select("_source", "_lang", "_topic", "tokens", "weight", (F.col("weight") / F.col("_top")).alias("probability"))
 
 
+def deviation(cells: DataFrame) -> float:
+    """Largest relative difference of a margin's weighted sum to its target."""
+    gaps = []
+    for m in MARGINS:
+        gap = F.abs(F.sum(F.col("weight") * F.col("tokens")) - F.max(f"goal_{m}")) / F.max(f"goal_{m}")
+        gaps.append(cells.where(F.col(f"goal_{m}") > 0).groupBy(f"_{m}").agg(gap.alias("gap")).agg(F.max("gap").alias("gap")))
+    return gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
+
+
 def draw(doc_id: Column, seed: str) -> Column:
     """Uniform number in [0, 1) from the digest of seed and id."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, HEX)

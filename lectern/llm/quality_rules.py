@@ -107,7 +107,7 @@ def learn(
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     rows = stats.where(~base_failed()).join(lab, "doc_id").select("doc_id", (F.col("q") < 1).cast("int").alias("bad"), *[F.expr(e).cast("long").alias(f) for f, e in FEATURES.items()])
-    rows = spool(rows.coalesce(8), "op3-labelled")
+    rows = spool(rows, "op3-labelled")
     names = list(FEATURES)
     grid = [k / bins for k in range(1, bins)]
     cuts = rows.agg(*[F.percentile_approx(f, grid, 10000).alias(f) for f in names]).first()
@@ -117,7 +117,7 @@ def learn(
     cuts = {f: sorted({*c, *((a + b) // 2 for a, b in zip(c, c[1:], strict=False))}) for f, c in cuts.items()}
     # bin of a value: how many thresholds lie below it; "feature > cuts[b]" means bin > b
     binned = [F.expr(f"size(filter(array({', '.join(f'{int(t)}L' for t in cuts[f])}), t -> t < `{f}`))") for f in names]
-    live = spool(rows.select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), F.array(*binned).alias("b")).groupBy("b", "grow").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")).coalesce(8), "op3-cube")
+    live = spool(rows.select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), F.array(*binned).alias("b")).groupBy("b", "grow").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")), "op3-cube")
 
     def test(t):
         k, s, b = t
