@@ -6,7 +6,8 @@ most one slot, and losing a shard moves few other slots. The filled table, of fi
 placing a row is one digest and one lookup.
 
 Edge cases: null ids are placed as ""; repeated ids go to one shard; a shard named twice counts once; no
-shards is an error; empty tables give empty results; other columns are kept.
+shards is an error; empty tables give empty results; other columns are kept, but for columns named slot or
+shard, which the answer replaces (the key itself may be one of them).
 """
 
 from __future__ import annotations
@@ -58,17 +59,30 @@ def place(rows: DataFrame, key: str, shards: list[str], size: int = SIZE) -> Dat
     text = ",".join(map(str, owner))
     table = rows.sparkSession.range(1).select(F.posexplode(F.split(F.lit(text), ",")).alias("slot", "owner"))
     named = table.select("slot", F.get(F.array(*map(F.lit, shards)), F.col("owner").cast("int")).alias("shard"))
-    return rows.withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(named), "slot")
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    return rows.select(slot_of(F.col(key), size).alias("slot"), *kept).join(F.broadcast(named), "slot")
 
 
 def write_shards(placed: DataFrame, path: str, *, rows_per_file: int = 1_000_000) -> None:
-    """One folder a shard; a shard with many rows is spread over as many tasks as it has files."""
+    """One folder a shard; a shard with many rows is dealt by a hash of the row to as many tasks as it has files."""
     counts = placed.groupBy("shard").agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
-    salted = placed.join(F.broadcast(counts), "shard").withColumn("_part", F.floor(F.rand(7) * F.col("_files")))
+    salted = placed.join(F.broadcast(counts), "shard").withColumn("_part", F.pmod(F.xxhash64(*placed.columns), F.col("_files")))
     salted.drop("_files").repartition("shard", "_part").drop("_part").write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+SHARDS = [f"shard-{k:04d}" for k in range(64)]
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: place every document on one of 64 shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return place(docs, "doc_id", [f"shard-{k:04d}" for k in range(64)]).select("doc_id", "slot", "shard")
+    return place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
+
+
+def oracle() -> str:
+    """The same rows in DuckDB SQL, the filled table given as a literal; tests fill it by another program."""
+    names = ", ".join(f"'{s}'" for s in SHARDS)
+    return f"""
+WITH t AS MATERIALIZED (SELECT unnest(range({SIZE})) AS slot, unnest(string_split('{",".join(map(str, lookup_table(SHARDS)))}', ',')) AS owner),
+d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HEX}) AS BIGINT) % {SIZE} AS INT) AS slot FROM documents)
+SELECT doc_id, d.slot, [{names}][CAST(owner AS INT) + 1] AS shard FROM d JOIN t ON t.slot = d.slot"""
