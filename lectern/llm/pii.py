@@ -184,7 +184,7 @@ def discover(
         worth = edges.join(score, "t").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("w"), F.sum((F.col("score") >= min_instance).cast("int")).alias("k"))
         worth = spool(worth.select("pattern", F.least(F.lit(1.0), "w").alias("w"), "k"), "op6-worth")
         sure = worth.where((F.col("w") >= min_pattern) & (F.col("k") >= min_seeds))
-        against = F.sum(F.log1p(-F.least(F.lit(0.999999), F.col("w"))))
+        against = F.sum(F.log1p(-F.least(F.lit(0.999999), F.coalesce("w", F.lit(0.0)))))  # least() would pass over a null
         score = edges.join(sure.select("pattern", "w"), "pattern", "left").groupBy("t").agg(F.greatest(F.max("seed"), 1 - F.exp(F.coalesce(against, F.lit(0.0)))).alias("score"))
         score = spool(score, "op6-score")
     new = score.where(F.col("score") >= min_instance).select("t")
