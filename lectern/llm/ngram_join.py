@@ -510,3 +510,17 @@ def _answer(rows: DataFrame, reps: DataFrame, comps: DataFrame, one: list[str])
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: classes of all documents at four words and 85 per cent."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# all pairs of distinct sets that share a shingle, counted shingle by shingle; reach sets for the classes
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS MATERIALIZED (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY ALL),
+u AS MATERIALIZED (SELECT rep, n, unnest(s) AS x FROM n),
+k AS MATERIALIZED (SELECT a.rep AS x, b.rep AS y FROM u a JOIN u b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS x, rep AS y FROM n UNION SELECT r.x, k.y FROM r JOIN k ON k.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, g.doc_id) AS component_id
+FROM g LEFT JOIN n ON n.s = list_sort(g.s) LEFT JOIN c ON c.x = n.rep
+"""
