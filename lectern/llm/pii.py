@@ -141,16 +141,20 @@ def _around(s: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, asked: DataFrame, pairs: bool) -> DataFrame:
-    """word (or two words), total: places in all texts where the asked ones stand."""
-    words = docs.select(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
-    if pairs:
-        two = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        words = words.select(F.concat("w", F.slice(two, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("w"))
-    words = words.select(F.explode("w").alias("word"))
+    """word (or two words), total: places in all texts where the asked ones stand, met by their hashes."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
+    rest = lambda h, start: F.slice(h, F.lit(start), F.greatest(F.size(h) - 1, F.lit(0)))
+    two = lambda h: rest(F.zip_with(h, rest(h, 2), lambda a, b: F.xxhash64(a, b)), 1)
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    words = docs.select((bound(hashes, lambda h: F.concat(h, two(h))) if pairs else hashes).alias("h"))
+    words = words.select(F.explode("h").alias("h"))
+    first, second = F.xxhash64(F.substring_index("word", " ", 1)), F.xxhash64(F.substring_index("word", " ", -1))
+    asked = asked.withColumn("h", F.when(F.contains("word", F.lit(" ")), F.xxhash64(first, second)).otherwise(first))
     if asked.count() <= BROADCAST_ROWS:
-        return words.join(F.broadcast(asked), "word").groupBy("word").agg(F.count("*").alias("total"))
-    # beyond the bound words are counted first, each task its own, so that a common word is a row a task
-    return words.groupBy("word").agg(F.count("*").alias("total")).join(asked, "word")
+        total = words.join(F.broadcast(asked), "h").groupBy("word").agg(F.count("*").alias("total"))
+    else:  # beyond the bound words are counted first, each task its own, so that a common word is a row a task
+        total = words.groupBy("h").agg(F.count("*").alias("total")).join(asked, "h")
+    return total.select("word", "total")
 
 
 def discover(
