@@ -85,7 +85,6 @@ def evidence_chunks(regions: Column, most: int = 3000, most_alternatives: int =
 
 def named_sections(t: Column, names: tuple[str, ...]) -> Column:
     """Map of section name to body. Headings may contain a name, plain lines must be one; longest names first."""
-    ls = lines_of(text.strip_fences(t))
     order = sorted(names, key=len, reverse=True)
     edge = lambda c: F.regexp_replace(c, r"^[*_ ]+|[*_ ]+$", "")
 
@@ -99,41 +98,58 @@ def named_sections(t: Column, names: tuple[str, ...]) -> Column:
         # a plain line counts only where it is some name; the loop's equality says so
         return out
 
-    marks = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), label(x).alias("n"))), lambda m: m["n"].isNotNull())
+    def sections(ls):
+        marked = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), label(x).alias("n"))), lambda m: m["n"].isNotNull())
 
-    def body(m, k):
-        end = F.coalesce(F.get(marks, k + 1)["i"], F.size(ls))
-        return F.struct(m["n"].alias("key"), text.strip(F.array_join(F.slice(ls, m["i"] + 2, end - m["i"] - 1), "\n")).alias("value"))
+        def bodies(marks):
+            def body(m, k):
+                end = F.coalesce(F.get(marks, k + 1)["i"], F.size(ls))
+                return F.struct(m["n"].alias("key"), text.strip(F.array_join(F.slice(ls, m["i"] + 2, end - m["i"] - 1), "\n")).alias("value"))
 
-    bodies = F.filter(F.transform(marks, body), lambda b: b["value"] != "")
-    # of equal names the last non-empty body stands, at the place of the first
-    keys = F.array_distinct(F.transform(bodies, lambda b: b["key"]))
-    last = lambda k: F.element_at(F.filter(bodies, lambda b: b["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, last))
+            return F.filter(F.transform(marks, body), lambda b: b["value"] != "")
+
+        return _last_of_each(text.bound(marked, bodies))
+
+    return text.bound(lines_of(text.strip_fences(t)), sections)
+
+
+def _last_of_each(entries: Column) -> Column:
+    """Map of (key, value) entries: of equal keys the last value stands, at the place of the first."""
+
+    def of(found):
+        keys = F.array_distinct(F.transform(found, lambda p: p["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda p: p["key"] == k), -1)["value"]))
+
+    return text.bound(entries, of)
 
 
 def level_two_sections(t: Column) -> Column:
     """Array of (key, title, markdown) of non-empty level-two sections; the whole text if there is none."""
-    ls = F.split(text.unify_newlines(t), "\n")
     title = lambda x: F.regexp_extract(text.strip(x), r"(?U)^##\s+(.+?)\s*$", 1)
-    marks = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), title(x).alias("t"))), lambda m: m["t"] != "")
 
-    def body(m, k):
-        end = F.coalesce(F.get(marks, k + 1)["i"], F.size(ls))
-        return F.struct(m["t"].alias("title"), text.strip(F.array_join(F.slice(ls, m["i"] + 1, end - m["i"]), "\n")).alias("markdown"))
+    def sections(ls):
+        marked = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), title(x).alias("t"))), lambda m: m["t"] != "")
 
-    found = F.filter(F.transform(marks, body), lambda b: b["markdown"] != "")
-    found = F.transform(found, lambda b, k: F.struct(F.concat(F.lit("section-"), (k + 1).cast("string")).alias("key"), b["title"].alias("title"), b["markdown"].alias("markdown")))
-    whole = F.array(F.struct(F.lit("section-1").alias("key"), F.lit("完整摘要").alias("title"), text.strip(t).alias("markdown")))
-    return F.when(F.size(found) > 0, found).when(text.strip(t) != "", whole).otherwise(F.slice(whole, 1, 0))
+        def bodies(marks):
+            def body(m, k):
+                end = F.coalesce(F.get(marks, k + 1)["i"], F.size(ls))
+                return F.struct(m["t"].alias("title"), text.strip(F.array_join(F.slice(ls, m["i"] + 1, end - m["i"]), "\n")).alias("markdown"))
+
+            return F.filter(F.transform(marks, body), lambda b: b["markdown"] != "")
+
+        return text.bound(marked, bodies)
+
+    def keyed(found):
+        named = F.transform(found, lambda b, k: F.struct(F.concat(F.lit("section-"), (k + 1).cast("string")).alias("key"), b["title"].alias("title"), b["markdown"].alias("markdown")))
+        whole = F.array(F.struct(F.lit("section-1").alias("key"), F.lit("完整摘要").alias("title"), text.strip(t).alias("markdown")))
+        return F.when(F.size(found) > 0, named).otherwise(F.filter(whole, lambda w: w["markdown"] != ""))
+
+    return text.bound(text.bound(F.split(text.unify_newlines(t), "\n"), sections), keyed)
 
 
 def _canonical(parts: Column, aliases: dict[str, str]) -> Column:
     """Sections under their canonical names; of a name and its aliases the last one found stands."""
-    pairs = F.map_entries(parts)
-    renamed = F.transform(pairs, lambda p: F.struct(_renamed(p["key"], aliases).alias("key"), p["value"].alias("value")))
-    keys = F.array_distinct(F.transform(renamed, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(renamed, lambda p: p["key"] == k), -1)["value"]))
+    return _last_of_each(F.transform(F.map_entries(parts), lambda p: F.struct(_renamed(p["key"], aliases).alias("key"), p["value"].alias("value"))))
 
 
 def _renamed(name: Column, aliases: dict[str, str]) -> Column:
@@ -146,8 +162,8 @@ def _renamed(name: Column, aliases: dict[str, str]) -> Column:
 def normalize_summary(t: Column) -> Column:
     """Canonical summary: the title, then the non-empty sections in order."""
     parts = _canonical(named_sections(t, (*SUMMARY_SECTIONS, *SUMMARY_ALIASES)), SUMMARY_ALIASES)
-    body = F.concat_ws("\n\n", F.lit(TITLE), *[F.concat(F.lit(f"## {s}\n"), F.try_element_at(parts, F.lit(s))) for s in SUMMARY_SECTIONS])
-    return F.concat(text.strip(body), F.lit("\n"))
+    body = lambda p: F.concat_ws("\n\n", F.lit(TITLE), *[F.concat(F.lit(f"## {s}\n"), F.try_element_at(p, F.lit(s))) for s in SUMMARY_SECTIONS])
+    return F.concat(text.strip(text.bound(parts, body)), F.lit("\n"))
 
 
 def normalize_quiz(t: Column, names: tuple[str, ...]) -> Column:
@@ -180,7 +196,10 @@ def question_counts(parts: Column) -> dict[str, Column]:
 
 def validate_quiz(t: Column, count: int = 5) -> Column:
     """Messages for missing sections, wrong numbers of questions, wrongly decoded text and fences."""
-    parts = named_sections(t, (*QUESTIONS, *ANSWERS))
+    return text.bound(named_sections(t, (*QUESTIONS, *ANSWERS)), lambda parts: _quiz_messages(parts, t, count))
+
+
+def _quiz_messages(parts: Column, t: Column, count: int) -> Column:
     counts = question_counts(parts)
     return _messages(
         *[(F.try_element_at(parts, F.lit(s)).isNull(), F.lit(f"缺少小考章節：{s}")) for s in (*QUESTIONS, *ANSWERS)],

@@ -39,6 +39,11 @@ def missing(truth: DataFrame, predictions: DataFrame, methods: tuple[str, ...] =
     return expected(truth, methods).join(predictions.select("stem", "method"), ["stem", "method"], "left_anti")
 
 
+def keep_stems(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``wanted`` key column is among the wanted ones; each once, however often it is wanted."""
+    return rows.join(wanted, wanted.columns, "left_semi")
+
+
 def check_complete(truth: DataFrame, predictions: DataFrame, required: tuple[str, ...] = REQUIRED) -> None:
     """Raise if a reference is empty or a required prediction is absent."""
     empty = truth.where(F.length(text.normalize_text(F.col("text"), True)) == 0).limit(5).collect()
@@ -49,16 +54,16 @@ def check_complete(truth: DataFrame, predictions: DataFrame, required: tuple[str
         raise FileNotFoundError(f"Missing predictions: {[(r['stem'], r['method']) for r in lost]}")
 
 
-def edit_statistics(truth: DataFrame, predictions: DataFrame, *, split: bool = False, compose: bool = True, whole: bool = False) -> DataFrame:
+def edit_statistics(truth: DataFrame, predictions: DataFrame, *, split: bool = False, compose: bool = True) -> DataFrame:
     """One row a (stem, profile, method): lengths, edits, cer and accuracy; with ``split`` also S, D and I.
 
-    ``whole``: distances by bit vectors, for texts too long for the built-in levenshtein; the same numbers.
+    Texts are compared whole; distances go by bit vectors, as the built-in levenshtein takes a cell a pair of characters.
     """
     pairs = predictions.select("stem", "method", F.col("text").alias("hyp")).join(truth.select("stem", F.col("text").alias("ref")), "stem")
     both = [F.struct(F.lit(p).alias("profile"), text.normalize_text(F.col("ref"), p != "strict", compose).alias("r"), text.normalize_text(F.col("hyp"), p != "strict", compose).alias("h")) for p in PROFILES]
     long = pairs.select("stem", "method", F.explode(F.array(*both)).alias("x")).select("stem", "method", "x.*")
     n, m = F.length("r"), F.length("h")
-    facts = long.withColumns({"reference_characters": n, "hypothesis_characters": m, "edits": (metrics.edit_distance if whole else F.levenshtein)(F.col("r"), F.col("h"))})
+    facts = long.withColumns({"reference_characters": n, "hypothesis_characters": m, "edits": metrics.edit_distance(F.col("r"), F.col("h"))})
     if split:
         facts = facts.withColumn("s", metrics.edit_split(F.col("r"), F.col("h"))).select("*", "s.*").drop("s")
     cer = metrics.rate(F.col("edits"), F.col("reference_characters"), F.col("hypothesis_characters"))

@@ -125,12 +125,27 @@ def group_regions(candidates: DataFrame) -> DataFrame:
     return rows.groupBy("stem").applyInPandas(fit, schema)
 
 
+def best_by_text(rows: DataFrame, key: tuple[str, ...], *ties: str) -> DataFrame:
+    """Of rows with equal key and text the most confident one, first by ``ties``."""
+    best = Window.partitionBy(*key, "text").orderBy(F.desc("confidence"), *ties)
+    return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+
+
+def in_reading_order(rows: DataFrame, top: Column, bottom: Column, left: Column, tie: str, name: str = "id") -> DataFrame:
+    """The rows of a page numbered by the middle of their line, then from the left."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("stem").orderBy((top + bottom) / 2, left, tie)))
+
+
+def source_counts(candidates: DataFrame) -> DataFrame:
+    """stem, source, n: candidates of a page by source."""
+    return candidates.groupBy("stem", "source").agg(F.count("*").alias("n"))
+
+
 def merge_regions(grouped: DataFrame) -> DataFrame:
     """Grouped candidates to regions: the winner's fields, alternatives by quality, and id in reading order."""
     key = ["stem", "group"]
     # per text the best record, at the place of the text's first arrival
-    best = Window.partitionBy(*key, "text").orderBy(F.desc("confidence"), "arrival")
-    rows = grouped.withColumn("_r", F.row_number().over(best)).withColumn("_first", F.min("arrival").over(Window.partitionBy(*key, "text"))).where("_r = 1")
+    rows = best_by_text(grouped.withColumn("_first", F.min("arrival").over(Window.partitionBy(*key, "text"))), ("stem", "group"), "arrival")
     rows = rows.withColumn("alt_pos", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("quality"), "_first")))
     rows = rows.withColumn("eligible", F.col("confidence") >= F.max("confidence").over(Window.partitionBy(*key)) - 0.28).withColumn("_key", text.candidate_key(F.col("text")))
     e = rows.where("eligible").select(*key, "alt_pos", "_key")
@@ -143,8 +158,7 @@ def merge_regions(grouped: DataFrame) -> DataFrame:
     alt = F.struct("alt_pos", "text", "confidence", bbox.alias("bbox"), "source")
     regions = rows.groupBy(*key).agg(F.max(F.when(F.col("_w") == 1, F.struct("text", "confidence", bbox.alias("bbox"), "source"))).alias("w"), F.array_sort(F.collect_list(alt)).alias("alternatives"))
     regions = regions.select("stem", "group", "w.*", F.transform("alternatives", lambda a: F.struct(a["text"].alias("text"), a["confidence"].alias("confidence"), a["bbox"].alias("bbox"), a["source"].alias("source"))).alias("alternatives"))
-    order = Window.partitionBy("stem").orderBy((F.col("bbox")[1] + F.col("bbox")[3]) / 2, F.col("bbox")[0], "group")
-    return regions.withColumn("id", F.row_number().over(order)).drop("group")
+    return in_reading_order(regions, F.col("bbox")[1], F.col("bbox")[3], F.col("bbox")[0], "group").drop("group")
 
 
 def clean_regions(regions: DataFrame) -> DataFrame:
@@ -161,7 +175,7 @@ def band_of(confidence: Column) -> Column:
 
 def statistics(candidates: DataFrame, merged: DataFrame, clean: DataFrame) -> DataFrame:
     """Counts a page: raw, merged, clean, high confidence, and candidates by source in source order."""
-    by = candidates.groupBy("stem", "source").count().groupBy("stem").agg(F.sum("count").alias("raw_candidate_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "count")))).alias("candidate_count_by_source"))
+    by = source_counts(candidates).groupBy("stem").agg(F.sum("n").alias("raw_candidate_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("candidate_count_by_source"))
     m = merged.groupBy("stem").agg(F.count("*").alias("merged_region_count"), F.count_if(F.col("confidence") >= 0.65).alias("high_confidence_region_count"))
     c = clean.groupBy("stem").agg(F.count("*").alias("clean_region_count"), uncertain().alias("uncertain_region_count"))
     return by.join(m, "stem", "left").join(c, "stem", "left").fillna(0)

@@ -1,15 +1,17 @@
 """Queries over the driver's tables for the operators, each beside the SQL that gives the same rows.
 
-There are no recognition tables, so inputs are derived: documents are references and edits of them predictions;
-events are candidate boxes (page = user), parts give image sizes. Queries named whole_, opcodes, edit_split and
-error_summary compare every document whole, stem = doc_id, and have no SQL, whose levenshtein is too slow for
-them. Six queries with SQL (cer_*, improvement, ablation_deltas, missing_predictions) compare runs of up to
-twelve words instead, folded to ASCII, as levenshtein there counts bytes: they hold the operators against the SQL
-and are no rates of documents.
+There are no recognition tables, so inputs are derived: every document, whole, is a reference and edits of it
+predictions; events are candidate boxes (page = user), parts give image sizes. Predictions are made by one kind
+of edit each, so that SQL knows their distance without an alignment: where one text is a subsequence of the
+other it is the difference of the lengths, and where characters are replaced by ones that the rest does not
+trade for others, their number (no alignment can have fewer, as so many characters are in surplus). The
+queries align all the same. Predictions are written in decomposed form, which normalisation has to undo.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,44 +43,45 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.repartition(n, "stem")
 
 
-#: Units of the queries with SQL: every text in runs of up to twelve words, as its levenshtein is quadratic.
-UNIT = r"(?:\S+\s*){1,12}"
+#: Accented letters of the documents' languages, for texts in decomposed form.
+ACCENTED = "àâäçèéêëîïíñóôöùúûüÀÂÄÇÈÉÊËÎÏÍÑÓÔÖÙÚÛÜ"
 
 
-def sentences(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("t"))
-    s = d.select("doc_id", "lang", "source", F.posexplode(F.regexp_extract_all("t", F.lit(UNIT), F.lit(0))).alias("k", "text"))
-    return s.withColumn("stem", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string")))
+def decomposed(t):
+    for c in ACCENTED:
+        t = F.replace(t, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    return t
 
 
 def predictions(s: DataFrame) -> DataFrame:
     t = F.col("text")
     made = F.array(
-        F.struct(F.lit("paddleocr_baseline").alias("method"), F.replace(t, F.lit("e"), F.lit("")).alias("text")),
-        F.when(F.contains(t, F.lit("th")), F.struct(F.lit("ensemble_only").alias("method"), F.translate(t, "ao", "@0").alias("text"))),
+        F.struct(F.lit("paddleocr_baseline").alias("method"), decomposed(F.replace(t, F.lit("e"), F.lit(""))).alias("text")),
+        F.when(F.contains(t, F.lit("th")), F.struct(F.lit("ensemble_only").alias("method"), decomposed(F.translate(t, "ao", "@0")).alias("text"))),
         F.struct(F.lit("ensemble_llm").alias("method"), F.concat(t, F.lit(" end")).alias("text")),
     )
     keep = [c for c in s.columns if c != "text"]
     return s.select(*keep, F.explode(F.array_compact(made)).alias("m")).select(*keep, "m.*")
 
 
-_S = r"""s AS (SELECT doc_id, lang, source, CAST(doc_id AS VARCHAR) || ':' || CAST(k - 1 AS VARCHAR) AS stem, text FROM (
- SELECT doc_id, lang, source, unnest(a) AS text, unnest(range(1, len(a) + 1)) AS k FROM (
-  SELECT doc_id, lang, source, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '(?:\S+\s*){1,12}') AS a FROM documents))),
-p AS (SELECT *, 'paddleocr_baseline' AS method, replace(text, 'e', '') AS hyp FROM s
- UNION ALL SELECT *, 'ensemble_only', translate(text, 'ao', '@0') FROM s WHERE contains(text, 'th')
- UNION ALL SELECT *, 'ensemble_llm', text || ' end' FROM s),
-n AS (SELECT doc_id, lang, source, stem, method, 'strict' AS profile, regexp_replace(text, '^\s+|\s+$', '', 'g') AS r, regexp_replace(hyp, '^\s+|\s+$', '', 'g') AS h FROM p
- UNION ALL SELECT doc_id, lang, source, stem, method, 'no_whitespace', regexp_replace(text, '\s+', '', 'g'), regexp_replace(hyp, '\s+', '', 'g') FROM p),
-f AS (SELECT *, length(r) AS rc, length(h) AS hc, levenshtein(r, h) AS e FROM n),
-g AS (SELECT *, e / length(r)::DOUBLE AS cer, greatest(0::DOUBLE, 1 - e / length(r)::DOUBLE) AS acc FROM f)"""
+_W = r"[\t-\r\x1c-\x20\x{85}\pZ]"
+_S = r"""s AS (SELECT doc_id, lang, source, CAST(doc_id AS VARCHAR) AS stem, nfc_normalize(text) AS text FROM documents),
+p AS (SELECT *, 'paddleocr_baseline' AS method, replace(text, 'e', '') AS hyp, '' AS traded FROM s
+ UNION ALL SELECT *, 'ensemble_only', translate(text, 'ao', '@0'), 'ao' FROM s WHERE contains(text, 'th')
+ UNION ALL SELECT *, 'ensemble_llm', text || ' end', '' FROM s),
+u AS (SELECT doc_id, lang, source, stem, method, traded, regexp_replace(text, '\r\n?', chr(10), 'g') AS r, regexp_replace(hyp, '\r\n?', chr(10), 'g') AS h FROM p),
+n AS (SELECT doc_id, lang, source, stem, method, traded, 'strict' AS profile, regexp_replace(r, '^WS+|WS+$', '', 'g') AS r, regexp_replace(h, '^WS+|WS+$', '', 'g') AS h FROM u
+ UNION ALL SELECT doc_id, lang, source, stem, method, traded, 'no_whitespace', regexp_replace(r, 'WS+', '', 'g'), regexp_replace(h, 'WS+', '', 'g') FROM u),
+f AS (SELECT *, length(r) AS rc, length(h) AS hc, length(r) - length(translate(r, traded, '')) AS subs, greatest(length(r) - length(h), 0) AS dels, greatest(length(h) - length(r), 0) AS ins, subs + dels + ins AS e FROM n),
+g AS (SELECT *, CASE WHEN rc > 0 THEN e / rc::DOUBLE WHEN hc = 0 THEN 0 ELSE 'inf'::DOUBLE END AS cer, greatest(0::DOUBLE, 1 - cer) AS acc FROM f)""".replace("WS", _W)
 _A = """a AS (SELECT profile, method, count(*) AS document_count, CAST(sum(rc) AS BIGINT) AS reference_characters, CAST(sum(hc) AS BIGINT) AS hypothesis_characters, CAST(sum(e) AS BIGINT) AS edits,
+ CAST(sum(subs) AS BIGINT) AS substitutions, CAST(sum(dels) AS BIGINT) AS deletions, CAST(sum(ins) AS BIGINT) AS insertions,
  avg(cer) AS macro_cer, avg(acc) AS macro_character_accuracy, sum(e)::DOUBLE / sum(rc) AS micro_cer, greatest(0::DOUBLE, 1 - sum(e)::DOUBLE / sum(rc)) AS micro_character_accuracy FROM g GROUP BY ALL)"""
 
 
-def _facts(spark, sf_dir):
-    s = sentences(spark, sf_dir)
-    return evaluate.edit_statistics(s, predictions(s.select("stem", "text")), compose=False)
+def _facts(spark, sf_dir, **options):
+    s = whole(spark, sf_dir).select("stem", "text")
+    return evaluate.edit_statistics(s, predictions(s), **options)
 
 
 #: Means of doubles depend on the order of summation; whole millionths of them do not.
@@ -106,11 +109,9 @@ def cer_per_document(spark, sf_dir):
 
 @query(f"WITH {_S} SELECT lang, source, method, count(*) AS document_count, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(rc) AS BIGINT) AS reference_characters FROM g WHERE profile = 'no_whitespace' GROUP BY ALL")
 def cer_by_lang_source(spark, sf_dir):
-    s = sentences(spark, sf_dir)
-    p = predictions(s)
-    r, h = text.normalize_text(F.col("ref"), True, False), text.normalize_text(F.col("hyp"), True, False)
-    both = p.withColumnRenamed("text", "hyp").join(s.select("stem", F.col("text").alias("ref")), "stem")
-    return both.withColumn("e", F.levenshtein(r, h)).groupBy("lang", "source", "method").agg(F.count("*").alias("document_count"), F.sum("e").alias("edits"), F.sum(F.length(r)).alias("reference_characters"))
+    f = _facts(spark, sf_dir).where("profile = 'no_whitespace'")
+    named = f.join(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), "lang", "source"), "stem")
+    return named.groupBy("lang", "source", "method").agg(F.count("*").alias("document_count"), F.sum("edits").alias("edits"), F.sum("reference_characters").alias("reference_characters"))
 
 
 @query(f"""WITH {_S}, {_A}, i AS (SELECT profile, max(micro_cer) FILTER (method = 'paddleocr_baseline') AS base_cer, max(micro_cer) FILTER (method = 'ensemble_llm') AS proposed_cer FROM a GROUP BY profile)
@@ -120,16 +121,17 @@ def improvement(spark, sf_dir):
     return _millionths(out, "base_cer", "proposed_cer", "absolute_reduction", "relative_reduction")
 
 
+# each prediction: its setting, the edit, the same in SQL, and the characters it trades for others
 _EDITS = (
-    ("raw_paddleocr", lambda t: F.replace(t, F.lit("e"), F.lit("")), "replace(text, 'e', '')"),
-    ("document_rectification", lambda t: F.replace(t, F.lit("th"), F.lit("h")), "replace(text, 'th', 'h')"),
-    ("blue_ink_extraction", lambda t: F.replace(t, F.lit("n"), F.lit("m")), "replace(text, 'n', 'm')"),
-    ("line_removal", lambda t: F.translate(t, "ao", "@0"), "translate(text, 'ao', '@0')"),
-    ("multi_variant_ensemble", lambda t: F.replace(t, F.lit("i"), F.lit("")), "replace(text, 'i', '')"),
-    ("rule_based_normalization", lambda t: F.replace(t, F.lit(","), F.lit("")), "replace(text, ',', '')"),
-    ("llm_correction", lambda t: t, "text"),
+    ("raw_paddleocr", lambda t: F.replace(t, F.lit("e"), F.lit("")), "replace(text, 'e', '')", ""),
+    ("document_rectification", lambda t: F.replace(t, F.lit("th"), F.lit("h")), "replace(text, 'th', 'h')", ""),
+    ("blue_ink_extraction", lambda t: F.replace(t, F.lit("n"), F.lit("m")), "replace(text, 'n', 'm')", "n"),
+    ("line_removal", lambda t: F.translate(t, "ao", "@0"), "translate(text, 'ao', '@0')", "ao"),
+    ("multi_variant_ensemble", lambda t: F.replace(t, F.lit("i"), F.lit("")), "replace(text, 'i', '')", ""),
+    ("rule_based_normalization", lambda t: F.replace(t, F.lit(","), F.lit("")), "replace(text, ',', '')", ""),
+    ("llm_correction", lambda t: t, "text", ""),
 )
-_B = _S.split("p AS (")[0] + "p AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS method, {q} AS hyp FROM s" for n, _, q in _EDITS) + "),\n" + "n AS (" + _S.split("n AS (")[1]
+_B = _S.split("p AS (")[0] + "p AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS method, {q} AS hyp, '{c}' AS traded FROM s" for n, _, q, c in _EDITS) + "),\n" + "u AS (" + _S.split("u AS (")[1]
 _PARENTS = ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b, _ in evaluate.SETTINGS)
 
 
@@ -138,59 +140,15 @@ SELECT c.profile, d.setting_id, d.parent_id, c.document_count, c.reference_chara
  CAST(round((c.micro_cer - b.micro_cer) * 1e6) AS BIGINT) AS delta_cer_vs_baseline, CAST(round((c.micro_cer - p.micro_cer) * 1e6) AS BIGINT) AS delta_cer_vs_parent
 FROM a c JOIN d ON d.setting_id = c.method LEFT JOIN a p ON p.method = d.parent_id AND p.profile = c.profile LEFT JOIN a b ON b.method = 'raw_paddleocr' AND b.profile = c.profile""")
 def ablation_deltas(spark, sf_dir):
-    s = sentences(spark, sf_dir).select("stem", "text")
-    made = F.array(*[F.struct(F.lit(n).alias("method"), f(F.col("text")).alias("text")) for n, f, _ in _EDITS])
+    s = whole(spark, sf_dir).select("stem", "text")
+    made = F.array(*[F.struct(F.lit(n).alias("method"), decomposed(f(F.col("text"))).alias("text")) for n, f, _, _ in _EDITS])
     p = s.select("stem", F.explode(made).alias("m")).select("stem", "m.*")
-    out = evaluate.ablation(evaluate.aggregate(evaluate.edit_statistics(s, p, compose=False)), evaluate.settings(spark))
+    out = evaluate.ablation(evaluate.aggregate(evaluate.edit_statistics(s, p)), evaluate.settings(spark))
     return _millionths(out, "cer", "character_accuracy", "delta_cer_vs_baseline", "delta_cer_vs_parent")
 
 
 @query(f"WITH {_S} SELECT s.stem, m.method FROM s CROSS JOIN (VALUES ('paddleocr_baseline'), ('ensemble_only'), ('ensemble_llm')) m(method) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.stem = s.stem AND p.method = m.method)")
 def missing_predictions(spark, sf_dir):
-    s = sentences(spark, sf_dir).select("stem", "text")
-    return evaluate.missing(s, predictions(s))
-
-
-def _whole_facts(spark, sf_dir, **options):
-    s = whole(spark, sf_dir).select("stem", "text")
-    return evaluate.edit_statistics(s, predictions(s), compose=False, whole=True, **options)
-
-
-@query()
-def whole_cer_per_document(spark, sf_dir):
-    f = _millionths(_whole_facts(spark, sf_dir), "cer", "character_accuracy")
-    return f.select("stem", "profile", "method", "reference_characters", "hypothesis_characters", "edits", "cer", "character_accuracy")
-
-
-@query()
-def whole_cer_micro_macro(spark, sf_dir):
-    return _millionths(evaluate.aggregate(_whole_facts(spark, sf_dir)), *_MICRO)
-
-
-@query()
-def whole_cer_by_lang_source(spark, sf_dir):
-    f = _whole_facts(spark, sf_dir).where("profile = 'no_whitespace'")
-    named = f.join(whole(spark, sf_dir).select("stem", "lang", "source"), "stem")
-    return named.groupBy("lang", "source", "method").agg(F.count("*").alias("document_count"), F.sum("edits").alias("edits"), F.sum("reference_characters").alias("reference_characters"))
-
-
-@query()
-def whole_improvement(spark, sf_dir):
-    out = evaluate.improvement(evaluate.aggregate(_whole_facts(spark, sf_dir)), "paddleocr_baseline", "ensemble_llm")
-    return _millionths(out, "base_cer", "proposed_cer", "absolute_reduction", "relative_reduction")
-
-
-@query()
-def whole_ablation_deltas(spark, sf_dir):
-    s = whole(spark, sf_dir).select("stem", "text")
-    made = F.array(*[F.struct(F.lit(n).alias("method"), f(F.col("text")).alias("text")) for n, f, _ in _EDITS])
-    p = s.select("stem", F.explode(made).alias("m")).select("stem", "m.*")
-    out = evaluate.ablation(evaluate.aggregate(evaluate.edit_statistics(s, p, compose=False, whole=True)), evaluate.settings(spark))
-    return _millionths(out, "cer", "character_accuracy", "delta_cer_vs_baseline", "delta_cer_vs_parent")
-
-
-@query()
-def whole_missing_predictions(spark, sf_dir):
     s = whole(spark, sf_dir).select("stem", "text")
     return evaluate.missing(s, predictions(s))
 
@@ -198,7 +156,7 @@ def whole_missing_predictions(spark, sf_dir):
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def stem_filter(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(good, "doc_id", "left_semi")
+    return evaluate.keep_stems(table(spark, sf_dir, "documents").select("doc_id", "lang"), good)
 
 
 _NOISE = r"""regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', '\n', 'g'), '[\x{feff}\x{200b}]', '', 'g')"""
@@ -345,18 +303,13 @@ def region_pairs(spark, sf_dir):
 
 @query(f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY stem, text ORDER BY confidence DESC, id) AS k FROM e) SELECT stem, text, id, confidence FROM r WHERE k = 1")
 def region_dedup(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stem", "text").orderBy(F.desc("confidence"), "id")
-    return boxes(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("stem", "text", "id", "confidence")
+    return fusion.best_by_text(boxes(spark, sf_dir), ("stem",), "id").select("stem", "text", "id", "confidence")
 
 
 @query(f"WITH {_E} SELECT stem, id, row_number() OVER (PARTITION BY stem ORDER BY (y1 + y2) / 2, x1, id) AS position FROM e")
 def reading_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stem").orderBy((F.col("y1") + F.col("y2")) / 2, "x1", "id")
-    return boxes(spark, sf_dir).select("stem", "id", F.row_number().over(w).cast("long").alias("position"))
+    rows = fusion.in_reading_order(boxes(spark, sf_dir), F.col("y1"), F.col("y2"), F.col("x1"), "id", "position")
+    return rows.select("stem", "id", F.col("position").cast("long").alias("position"))
 
 
 @query(f"WITH {_E} SELECT stem, source, CASE WHEN confidence >= 0.65 THEN 'high' WHEN confidence >= 0.40 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM e GROUP BY ALL")
@@ -374,7 +327,7 @@ def clean_filter(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT stem, source, count(*) AS n FROM e GROUP BY ALL")
 def source_counts(spark, sf_dir):
-    return boxes(spark, sf_dir).groupBy("stem", "source").agg(F.count("*").alias("n"))
+    return fusion.source_counts(boxes(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT user_id AS stem, event_id AS id, event_id * 11 % 500 AS a, event_id * 11 % 500 + event_id % 90 AS b, event_id % 3 AS k FROM events)
@@ -394,6 +347,48 @@ def merged_regions(spark, sf_dir):
     return fusion.merge_regions(fusion.group_regions(boxes(spark, sf_dir).drop("id")))
 
 
+def lines(spark, sf_dir) -> DataFrame:
+    """Boxes in seven lines a page, of two texts that share no letter: regions are lines, and SQL can follow the fusion."""
+    e = F.col("event_id")
+    y1 = (e % 7 * 100 + e * 3 % 5).cast("double")
+    return boxes(spark, sf_dir).withColumn("event_id", F.col("id")).select(
+        "stem", "ord", F.when(e % 2 == 0, "alpha").otherwise("zzzzyy").alias("text"), "confidence", (e % 4).cast("double").alias("x1"), y1.alias("y1"),
+        (e % 4 + 300 + e % 3).cast("double").alias("x2"), (y1 + 30).alias("y2"), "source",
+    )
+
+
+_L = f"""WITH {_E.replace('AS text', 'AS kind', 1)},
+l AS (SELECT stem, id AS ord, id % 7 AS line, CASE id % 2 WHEN 0 THEN 'alpha' ELSE 'zzzzyy' END AS text, confidence, source, CAST(id % 4 AS DOUBLE) AS x1, CAST(id % 7 * 100 + id * 3 % 5 AS DOUBLE) AS y1,
+ confidence + length(text) * 0.002::DOUBLE + ({_Q})::DOUBLE AS quality FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY quality DESC, ord) AS arrival FROM l),
+b AS (SELECT *, row_number() OVER (PARTITION BY stem, line, text ORDER BY confidence DESC, arrival) AS r, min(arrival) OVER (PARTITION BY stem, line, text) AS came, min(arrival) OVER (PARTITION BY stem, line) AS grp FROM o),
+d AS (SELECT *, row_number() OVER (PARTITION BY stem, line ORDER BY quality DESC, came) AS pos, confidence >= max(confidence) OVER (PARTITION BY stem, line) - 0.28::DOUBLE AS eligible FROM b WHERE r = 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY stem, line ORDER BY CASE WHEN eligible THEN quality END DESC NULLS LAST, confidence DESC, pos) AS win FROM d),
+m AS (SELECT stem, line, max(grp) AS grp, max(text) FILTER (win = 1) AS text, max(confidence) FILTER (win = 1) AS confidence, max(source) FILTER (win = 1) AS source, max(x1) FILTER (win = 1) AS x1, max(y1) FILTER (win = 1) AS y1,
+ count(*) AS alternatives, count(DISTINCT source) AS sources, string_agg(text || ':' || source, ',' ORDER BY pos) AS said FROM w GROUP BY stem, line),
+i AS (SELECT *, CAST(row_number() OVER (PARTITION BY stem ORDER BY y1 + 15, x1, grp) AS INT) AS id FROM m),
+c AS (SELECT * FROM i WHERE NOT (source = 'binary_full' AND sources < 2) AND (confidence >= 0.4 OR sources >= 2 AND confidence >= 0.3))"""
+
+
+@query(f"{_L} SELECT stem, id, text, confidence, source, said, id IN (SELECT id FROM c WHERE c.stem = i.stem) AS clean FROM i")
+def merged_lines(spark, sf_dir):
+    m = fusion.merge_regions(fusion.group_regions(lines(spark, sf_dir)))
+    clean = fusion.clean_regions(m).select("stem", "id", F.lit(True).alias("clean"))
+    said = F.array_join(F.transform("alternatives", lambda a: F.concat(a["text"], F.lit(":"), a["source"])), ",")
+    return m.withColumn("said", said).join(clean, ["stem", "id"], "left").select("stem", "id", "text", "confidence", "source", "said", F.coalesce("clean", F.lit(False)).alias("clean"))
+
+
+@query(f"""{_L}, k AS (SELECT stem, string_agg(source || '=' || CAST(n AS VARCHAR), ',' ORDER BY source) AS by_source, CAST(sum(n) AS BIGINT) AS raw FROM (SELECT stem, source, count(*) AS n FROM l GROUP BY ALL) GROUP BY stem)
+SELECT k.stem, raw, by_source, (SELECT count(*) FROM i WHERE i.stem = k.stem) AS merged, (SELECT count(*) FROM i WHERE i.stem = k.stem AND confidence >= 0.65) AS high,
+ (SELECT count(*) FROM c WHERE c.stem = k.stem) AS clean, (SELECT count(*) FROM c WHERE c.stem = k.stem AND (confidence < 0.65 OR alternatives > 1)) AS uncertain FROM k""")
+def line_statistics(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    m = fusion.merge_regions(fusion.group_regions(rows))
+    s = fusion.statistics(rows, m, fusion.clean_regions(m))
+    by = F.array_join(F.transform(F.map_entries("candidate_count_by_source"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.select("stem", F.col("raw_candidate_count").alias("raw"), by.alias("by_source"), F.col("merged_region_count").alias("merged"), F.col("high_confidence_region_count").alias("high"), F.col("clean_region_count").alias("clean"), F.col("uncertain_region_count").alias("uncertain"))
+
+
 @query()
 def region_statistics(spark, sf_dir):
     b = boxes(spark, sf_dir).drop("id")
@@ -407,40 +402,65 @@ def turn_pairs(spark, sf_dir):
     return a.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("second")), ["conv_id", "turn"])
 
 
-@query()
+#: Marks that no document holds, so that an alignment has to step over them.
+_X, _Y = "甲乙", "丙"
+
+
+@query(f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS stem, doc_id % 3 AS k, CAST(length(text) AS INT) AS n, CAST((length(text) + 1) // 2 AS INT) AS l FROM documents),
+o AS (SELECT stem, 0 AS ord, 'equal' AS tag, 0 AS i1, l AS i2, 0 AS j1, l AS j2 FROM d WHERE l > 0
+ UNION ALL SELECT stem, 1, CASE k WHEN 0 THEN 'insert' WHEN 1 THEN 'delete' ELSE 'replace' END, l, l + CASE k WHEN 0 THEN 0 ELSE 2 END, l, l + CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END FROM d
+ UNION ALL SELECT stem, 2, 'equal', l + CASE k WHEN 0 THEN 0 ELSE 2 END, n + CASE k WHEN 0 THEN 0 ELSE 2 END, l + CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END, n + CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END FROM d WHERE n > l)
+SELECT stem, CAST(row_number() OVER (PARTITION BY stem ORDER BY ord) - 1 AS INT) AS ord, tag, i1, i2, j1, j2 FROM o""")
 def opcodes(spark, sf_dir):
-    p = whole(spark, sf_dir).select("stem", "text")
-    return p.select("stem", metrics.opcodes(F.col("text"), F.translate("text", "ao", "@0")).alias("ops"))
+    """Each document against itself with a mark put in, taken out or changed behind its longer half."""
+    t, k = F.col("text"), F.col("doc_id") % 3
+    half = F.floor((F.length(t) + 1) / 2).cast("int")
+    first, rest = F.substring(t, F.lit(1), half), F.substring(t, half + 1, F.length(t))
+    mark = lambda a, b, c: F.when(k == 0, a).when(k == 1, b).otherwise(c)
+    ref, hyp = F.concat(first, mark("", _X, _X), rest), F.concat(first, mark(_X, "", _Y), rest)
+    p = whole(spark, sf_dir).select("stem", F.posexplode(metrics.opcodes(ref, hyp)).alias("ord", "o"))
+    return p.select("stem", "ord", "o.*")
 
 
 @query()
-def edit_split(spark, sf_dir):
-    return evaluate.aggregate(_whole_facts(spark, sf_dir, split=True)).select("profile", "method", "substitutions", "deletions", "insertions", "edits")
+def opcodes_of_edits(spark, sf_dir):
+    """Each document against one with many letters changed: no SQL; the matcher is held against the library's in tests."""
+    return whole(spark, sf_dir).select("stem", metrics.opcodes(F.col("text"), F.translate("text", "ao", "@0")).alias("ops"))
 
 
-_CASES = [("a", "軟體", "软件", "軟體"), ("b", "法律", "法津", "法律"), ("c", "法律原則", "法律", "法律原則"), ("d", "法律", "法律", "法律新增"), ("e", "法律", "法律", "法津")]
+@query(f"WITH {_S}, {_A} SELECT profile, method, substitutions, deletions, insertions, edits FROM a")
+def edit_split(spark, sf_dir):
+    return evaluate.aggregate(_facts(spark, sf_dir, split=True)).select("profile", "method", "substitutions", "deletions", "insertions", "edits")
 
 
-@query("SELECT * FROM (VALUES ('a', '繁簡混用', '软件', '軟體', '是'), ('b', '相似字誤認', '津', '律', '是'), ('c', '缺字', '∅', '原則', '是'), ('d', 'LLM hallucination', '∅', '新增', '否')) t(stem, error_type, raw_ocr, corrected, success)")
-def error_types(spark, sf_dir):
-    rows = spark.createDataFrame(_CASES, "stem string, reference string, raw string, corrected string")
-    return errors.error_details(rows, {"软件": "軟體"}).select("stem", "error_type", "raw_ocr", "corrected", "success")
+# reference, raw and corrected ends of a document by its id, and the error that they make
+_CASES = (("軟體", "软件", "軟體"), ("法律", "法津", "法律"), ("法律原則", "法律", "法律原則"), ("法律", "法律", "法律新增"), ("法律", "法律", "法津"))
+_MADE = "(VALUES (0, '繁簡混用', '軟體', '软件', '軟體', '是'), (1, '相似字誤認', '律', '津', '律', '是'), (2, '缺字', '原則', '∅', '原則', '是'), (3, 'LLM hallucination', '∅', '∅', '新增', '否')) t(k, error_type, g, raw_ocr, corrected, success)"
 
 
 def _error_rows(spark, sf_dir):
-    s = whole(spark, sf_dir)
-    return s.select("stem", F.col("text").alias("reference"), F.replace("text", F.lit("th"), F.lit("h")).alias("raw"), F.translate("text", "q", "k").alias("corrected"))
+    """Whole documents with an end that is read or corrected wrongly, a case by doc_id."""
+    ends = F.array(*[F.struct(*[F.lit(f"【{x}】").alias(c) for c, x in zip("abc", case, strict=True)]) for case in _CASES])
+    s = whole(spark, sf_dir).withColumn("e", F.get(ends, (F.col("doc_id") % len(_CASES)).cast("int")))
+    return s.select("stem", *[F.concat("text", f"e.{c}").alias(n) for c, n in zip("abc", ("reference", "raw", "corrected"), strict=True)])
 
 
-@query()
-def error_details(spark, sf_dir):
-    """Every error of every derived pair; error_types holds five worked cases against its SQL and reads no table."""
-    return errors.error_details(_error_rows(spark, sf_dir))
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS stem, error_type, 'GT「' || g || '」' AS example, raw_ocr, corrected, success FROM documents JOIN {_MADE} ON doc_id % 5 = k")
+def error_types(spark, sf_dir):
+    return errors.error_details(_error_rows(spark, sf_dir), {"软件": "軟體"}).drop("ord")
 
 
-@query()
+@query(f"""WITH f AS (SELECT k, min(CAST(doc_id AS VARCHAR)) AS stem, count(*) AS n FROM documents JOIN {_MADE} ON doc_id % 5 = k GROUP BY k)
+SELECT t.k AS ord, error_type, stem || '：GT「' || g || '」（共 ' || CAST(n AS VARCHAR) || ' 筆）' AS example, raw_ocr, corrected, success FROM f JOIN {_MADE} ON t.k = f.k""")
 def error_summary(spark, sf_dir):
-    return errors.summarize(errors.error_details(_error_rows(spark, sf_dir)))
+    return errors.summarize(errors.error_details(_error_rows(spark, sf_dir), {"软件": "軟體"}))
+
+
+@query()
+def error_details(spark, sf_dir):
+    """Every error of documents with many letters lost and changed; worked cases and the two queries before hold the rule."""
+    s = whole(spark, sf_dir)
+    return errors.error_details(s.select("stem", F.col("text").alias("reference"), F.replace("text", F.lit("th"), F.lit("h")).alias("raw"), F.translate("text", "q", "k").alias("corrected")))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations)
