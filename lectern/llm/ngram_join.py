@@ -273,18 +273,28 @@ def _signature_rows(n: int, percent: int, lists):
     return run
 
 
+def _chunks(batches, rows: int = 200_000):
+    """Two columns of many small batches, as arrays of some length."""
+    held, size = [], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size >= rows:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _shared(batches):
     """Of rows sorted by key and node: those of keys with two or more nodes, with the bucket's first node as centre.
 
     Runs of any length pass through: of a chunk only its last row is held back, with the centre of its run.
     """
     key, node, centre, met = None, None, None, False  # the row held back; met: its run has rows already given
-    for b in batches:
-        keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+    for keys, nodes in _chunks(batches):
         if key is not None:
             keys, nodes = np.r_[key, keys], np.r_[node, nodes]
-        if not len(keys):
-            continue
         new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
         keys, nodes = keys[new], nodes[new]
         start = np.r_[True, keys[1:] != keys[:-1]]
