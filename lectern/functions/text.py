@@ -115,7 +115,7 @@ def quality_context(raw: Column, merged: Column, sure: Column, uncertain: Column
 
 
 def percent(rate: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", rate * 100), F.lit("N/A"))
+    return F.when(rate.isNull(), "N/A").otherwise(F.format_string("%.2f%%", rate * 100))
 
 
 def markdown_cell(text: Column) -> Column:

@@ -19,9 +19,9 @@ TITLE, PENDING = "# 單頁筆記摘要", "待核對原文"
 
 def lines_of(t: Column) -> Column:
     """Lines as Python's splitlines gives them; a final line break opens no line."""
-    parts = F.split(t, "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]")
-    open_end = (F.size(parts) > 0) & (F.element_at(parts, -1) == "")
-    return F.when(open_end, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    split = F.split(t, "\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]")
+    closed = lambda parts: (F.size(parts) > 0) & (F.element_at(parts, -1) == "")
+    return text.bound(split, lambda parts: F.when(closed(parts), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def pack(items: Column, extra: int, most: int, joiner: str) -> Column:
@@ -230,9 +230,12 @@ def fallback_summary(t: Column, compose: bool = True) -> Column:
 def fallback_quiz(t: Column, count: int = 5) -> Column:
     """Short-answer questions from the first lines of four sections that are no table rows."""
     parts = named_sections(t, ("重點摘要", "核心概念與定義", "見解比較", "判斷架構"))
-    ls = F.flatten(F.transform(F.map_values(parts), lines_of))
+    ls = F.flatten(F.transform(F.map_values(parts), lambda body: text.bound(body, lines_of)))
     ls = F.transform(F.filter(ls, lambda x: text.strip(x) != ""), lambda x: F.regexp_replace(x, "^[-* ]+|[-* ]+$", ""))
-    ls = F.slice(F.filter(ls, lambda x: ~F.startswith(x, F.lit("|"))), 1, count)
+    return text.bound(F.slice(F.filter(ls, lambda x: ~F.startswith(x, F.lit("|"))), 1, count), _short_answers)
+
+
+def _short_answers(ls: Column) -> Column:
     numbered = lambda x, k: F.concat((k + 1).cast("string"), F.lit(". "), x)
     ask = F.transform(ls, lambda x, k: numbered(F.concat(F.lit("請說明「"), F.substring(x, 1, 45), F.lit("」的重點。")), k))
     reply = F.transform(ls, lambda x, k: numbered(F.lit("參考摘要中的相關段落作答。"), k))

@@ -57,6 +57,12 @@ def lines_of(results: DataFrame) -> DataFrame:
     return rows.select("stem", "ord", text.strip(F.col("z.rec_texts")).alias("text"), F.col("z.rec_scores").cast("double").alias("confidence"), F.col("z.rec_boxes").alias("bbox")).where("text <> ''")
 
 
+def line_counts(lines: DataFrame) -> DataFrame:
+    """stem, line_count, character_count of a page's lines that are not blank; characters without those around a line."""
+    t = text.strip(F.col("text"))
+    return lines.groupBy("stem").agg(F.count_if(t != "").alias("line_count"), F.sum(F.length(t)).alias("character_count"))
+
+
 def quality() -> Column:
     """Confidence, a little for length, and the source's bonus."""
     named = F.lit(0.0)
