@@ -16,19 +16,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import metrics, text
-from . import documents
+from ..functions import metrics, script, text
+from . import documents, prompts
+from .prompts import message
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-INSTRUCTION = "Answer in Taiwan Traditional Chinese. Keep symbols as they are and add nothing that the source lacks."
-
-
-def message(role: str, content: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), content.alias("content"))
-
-
-def instructed(messages: Column, shared: str = INSTRUCTION) -> Column:
+def instructed(messages: Column, shared: str = prompts.SHARED) -> Column:
     """The shared instruction at the end of the first system message, or as one in front."""
     systems = F.filter(F.transform(messages, lambda m, i: F.struct(m["role"].alias("r"), i.alias("i"))), lambda x: x["r"] == "system")
     at = F.get(systems, F.lit(0))["i"]
@@ -36,8 +30,11 @@ def instructed(messages: Column, shared: str = INSTRUCTION) -> Column:
     return F.when(at.isNotNull(), added).otherwise(F.concat(F.array(message("system", F.lit(shared.strip()))), messages))
 
 
-def ask(rows: DataFrame, client: Callable[[list[dict]], str], column: str = "messages", into: str = "output") -> DataFrame:
-    """The rows with the client's answer; a failed call gives null, which the guards replace."""
+def ask(rows: DataFrame, client: Callable[[list[dict]], str], column: str = "messages", into: str = "output", *, grounded: bool = False, table: dict[str, str] | None = None) -> DataFrame:
+    """The rows with the client's answer, its script converted; a failed call gives null, which the guards replace.
+
+    Every call carries the shared instruction, ``grounded`` ones also the one against unsupported content.
+    """
     schema = rows.drop(column).withColumn(into, F.lit("")).schema
 
     def run(batches):
@@ -50,7 +47,9 @@ def ask(rows: DataFrame, client: Callable[[list[dict]], str], column: str = "mes
                     said.append(None)
             yield pdf.drop(columns=[column]).assign(**{into: pd.Series(said, dtype=object)})
 
-    return rows.withColumn(column, instructed(F.col(column))).mapInPandas(run, schema).withColumn(into, text.strip_artifacts(F.col(into)))
+    shared = prompts.SHARED + (prompts.GROUNDED if grounded else "")
+    out = rows.withColumn(column, instructed(F.col(column), shared)).mapInPandas(run, schema)
+    return out.withColumn(into, script.to_traditional(text.strip_artifacts(F.col(into)), table))
 
 
 def correct(pages: DataFrame, client: Callable | None, *, most: int = 1000, evidence: DataFrame | None = None, reconstruct: bool = True) -> DataFrame:
@@ -66,14 +65,13 @@ def correct(pages: DataFrame, client: Callable | None, *, most: int = 1000, evid
     if evidence is not None:
         clean = clean.join(evidence.select("stem", documents.evidence_chunks(F.col("regions")).alias("seen")), "stem", "left")
         parts = F.when(F.size("seen") > 0, F.col("seen")).otherwise(parts)
-    parts = clean.select("stem", F.posexplode_outer(parts).alias("index", "x")).select("stem", "index", F.col("x.prompt_text").alias("prompt"), F.col("x.fallback_text").alias("source"))
-    parts = parts.withColumn("messages", F.array(message("system", F.lit("Correct recognition errors only.")), message("user", F.coalesce("prompt", F.lit("")))))
-    out = ask(parts, client).withColumn("kept", metrics.guarded(F.col("output"), F.col("source"), F.col("source")))
+    parts = clean.withColumn("parts", parts).select("stem", F.size("parts").alias("count"), F.posexplode_outer("parts").alias("index", "x")).select("stem", "index", F.col("x.prompt_text").alias("prompt"), F.col("x.fallback_text").alias("source"), "count")
+    parts = parts.withColumn("messages", prompts.correction(F.coalesce("prompt", F.lit("")), F.coalesce("index", F.lit(0)) + 1, F.greatest("count", F.lit(1)))).drop("count")
+    out = ask(parts, client, grounded=True).withColumn("kept", metrics.guarded(F.col("output"), F.col("source"), F.col("source")))
     whole = out.groupBy("stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "kept"))), lambda x: x["kept"]), "\n").alias("t"), F.max(F.coalesce(F.col("output") == F.col("kept"), F.lit(False))).alias("used_llm"))
     if reconstruct:
         whole = whole.withColumn("t", text.strip(F.col("t")))
-        asked = whole.withColumn("messages", F.array(message("system", F.lit("Rebuild the whole note from this first correction: mend remaining errors, breaks and numbering; leave nothing out.")), message("user", F.col("t"))))
-        again = ask(asked, client).withColumn("kept", metrics.guarded(F.col("output"), F.col("t"), F.col("t"), 0.65, 1.65))
+        again = ask(whole.withColumn("messages", prompts.reconstruction(F.col("t"))), client, grounded=True).withColumn("kept", metrics.guarded(F.col("output"), F.col("t"), F.col("t"), 0.65, 1.65))
         whole = again.select("stem", F.col("kept").alias("t"), (F.col("used_llm") | F.coalesce(F.col("output") == F.col("kept"), F.lit(False))).alias("used_llm"))
     return whole.select("stem", text.normalize_noise(F.col("t")).alias("corrected_text"), "used_llm")
 
@@ -88,13 +86,13 @@ def summarize(pages: DataFrame, client: Callable | None, *, evidence: DataFrame
     if client is None:
         out = clean.select("stem", documents.fallback_summary(F.col("clean")).alias("summary"))
     else:
-        said = F.col("clean")
+        note = F.lit(None).cast("string")
         if evidence is not None:
             clean = clean.join(evidence.select("stem", "statistics", "uncertain"), "stem", "left")
             counts = [F.col("statistics")[k] for k in ("raw_candidate_count", "merged_region_count", "high_confidence_region_count")]
             clean = clean.select("stem", "clean", text.quality_context(*counts, F.coalesce("uncertain", F.lit(0))).alias("note"))
-            said = F.concat_ws("\n\n", "note", "clean")
-        asked = clean.withColumn("messages", F.array(message("system", F.lit("Summarise the notes under seven level-two headings: " + ", ".join(documents.SUMMARY_SECTIONS))), message("user", said)))
+            note = F.col("note")
+        asked = clean.withColumn("messages", prompts.summary(note, F.col("clean")))
         out = ask(asked, client).select("stem", documents.normalize_summary(F.coalesce("output", F.lit(""))).alias("summary"))
     return out.withColumn("validation_errors", documents.validate_summary(F.col("summary")))
 
@@ -110,7 +108,8 @@ def quiz(summaries: DataFrame, client: Callable | None, *, count: int = 5, repai
     for k in range(2 + repairs):
         wanted = {0: names[:2] + names[3:5], 1: (names[2], names[5])}.get(k, names)
         lacking = F.array_except(F.array(*map(F.lit, wanted)), F.map_keys("parts"))
-        asked = parts.withColumn("messages", F.when(F.size(lacking) > 0, F.array(message("system", F.lit("Write these quiz sections: ")), message("user", F.concat(F.array_join(lacking, ", "), F.lit("\n"), F.col("source"))))))
+        wording = {0: prompts.objective_questions(F.col("source"), count), 1: prompts.short_questions(F.col("source"), count)}.get(k, prompts.quiz_repair(F.col("source"), lacking, count))
+        asked = parts.withColumn("messages", F.when(F.size(lacking) > 0, wording))
         todo = ask(asked.where("messages is not null"), client).withColumn("new", documents.normalize_quiz(F.coalesce("output", F.lit("")), names))
         fresh = F.map_filter("new", lambda n, _: ~F.map_contains_key("parts", n))
         parts = todo.select("stem", "source", F.map_concat("parts", fresh).alias("parts")).unionByName(asked.where("messages is null").drop("messages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import markdown  # noqa: F401  (registers its queries)
+from . import markdown, runs  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

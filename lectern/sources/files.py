@@ -1,8 +1,8 @@
-"""Scans of page images, transcriptions, manifests and evidence, keyed by file stem."""
+"""Scans of page images, transcriptions, manifests and evidence, keyed by file stem; artifact paths, lookups and run views."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stem_of
@@ -20,7 +20,7 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(rf"\.({'|'.join(IMAGE_SUFFIXES)})$"))
     if not found.select("path").limit(1).count():
         raise FileNotFoundError(f"no images in {folder}")
-    return found.select(stem_of(F.col("path")).alias("stem"), "path", "length", "content")
+    return found.select(stem_of(F.col("path")).alias("stem"), "path", "length", "content").orderBy("path")
 
 
 def texts(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
@@ -74,6 +74,91 @@ def preferred(corrected: DataFrame, raw: DataFrame) -> DataFrame:
     return both.select("stem", F.coalesce("text", "_raw").alias("text"))
 
 
+# Folders of the stages, and each artifact's folder and name around a page's stem.
+FOLDERS = {
+    "preprocess_dir": "01_preprocessing", "baseline_dir": "02_ocr/baseline", "ablation_dir": "02_ocr/ablation", "ensemble_dir": "02_ocr/ensemble",
+    "llm_dir": "03_llm_correction", "evaluation_dir": "04_evaluation/{stem}", "summary_dir": "05_summary", "quiz_dir": "06_quiz",
+}
+ARTIFACTS = {
+    "manifest": ("preprocess_dir", "{stem}_preprocess_manifest.json"), "preprocessed": ("preprocess_dir", "{stem}_preprocessed_input.jpg"),
+    "cer_json": ("evaluation_dir", "cer_report.json"), "cer_csv": ("evaluation_dir", "cer_per_document.csv"), "cer_md": ("evaluation_dir", "cer_report.md"), "error_analysis_csv": ("evaluation_dir", "error_analysis.csv"),
+    **{f"ablation_{k}": ("evaluation_dir", f"ablation_report.{k}") for k in ("json", "csv", "md")},
+    **{f"{name}_{k}": (folder, f"{{stem}}_{file}.{'txt' if k == 'text' else k}") for name, folder, file, kinds in (
+        ("baseline", "baseline_dir", "paddleocr_baseline", ("text", "json")), ("ablation_document", "ablation_dir", "document_rectification", ("text", "json")),
+        ("ablation_blue_ink", "ablation_dir", "blue_ink_extraction", ("text", "json")), ("ablation_line_removal", "ablation_dir", "line_removal", ("text", "json")),
+        ("ocr", "ensemble_dir", "merged_ocr", ("text", "json")), ("corrected", "llm_dir", "corrected", ("text", "json")), ("rule_based", "llm_dir", "rule_based", ("text", "json")),
+        ("summary", "summary_dir", "summary", ("md", "json")), ("quiz", "quiz_dir", "quiz", ("md", "json")),
+    ) for k in kinds},
+}
+# Names of the processed variants, and the order in which one is shown first.
+LABELS = {
+    "document": "文件校正", "enhanced": "光照增強", "sharpened": "銳化", "line_removed": "移除橫線", "clean_document": "乾淨文件", "blue_ink": "藍色筆跡",
+    "blue_gray": "藍筆灰階", "blue_binary": "藍筆二值化", "blue_mask": "藍色遮罩", "binary": "二值化 OCR", "merged_ocr": "OCR 框線", "merged_ocr_review": "OCR 候選框線",
+}
+SHOWN_FIRST = ("binary", "clean_document", "line_removed", "sharpened", "enhanced", "document", "blue_ink", "blue_gray")
+
+
+def artifact_paths(stem: Column, root: str) -> dict[str, Column]:
+    """Folder and file of every artifact of a page, as columns of its stem."""
+
+    def put(form: str) -> Column:
+        first, _, rest = form.partition("{stem}")
+        return F.concat(F.lit(f"{root.rstrip('/')}/{first}"), stem, F.lit(rest)) if "{stem}" in form else F.lit(f"{root.rstrip('/')}/{form}")
+
+    def file(folder: str, form: str) -> Column:
+        return F.concat(put(FOLDERS[folder]), F.lit("/"), *([stem, F.lit(form.removeprefix("{stem}"))] if form.startswith("{stem}") else [F.lit(form)]))
+
+    return {k: put(f) for k, f in FOLDERS.items()} | {k: file(*x) for k, x in ARTIFACTS.items()}
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of all files below a folder, without their content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+
+
+def sibling(path: Column, suffix: str = ".json") -> Column:
+    """The file of the same name with another extension."""
+    return F.concat(F.regexp_replace(path, r"\.[^./\\]*$", ""), F.lit(suffix))
+
+
+def path_candidates(value: Column, base: str, output: str, dataset: str) -> Column:
+    """Where a recorded path may be found now, in order; absolute ones only where they say."""
+    raw = F.replace(value, F.lit("\\"), F.lit("/"))
+    name = F.regexp_extract(raw, "([^/]*)$", 1)
+    stages = [f"{output}/{f}" for f in FOLDERS.values() if "{stem}" not in f]
+    near = F.array(F.concat(F.lit(f"{base}/"), raw), F.concat(F.lit(f"{output}/"), raw), *[F.concat(F.lit(f"{d}/"), name) for d in (*stages, dataset, base)])
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.array().cast("array<string>")).when(F.startswith(raw, F.lit("/")), F.array(raw)).otherwise(near)
+
+
+def first_existing(rows: DataFrame, key: list[str], candidates: str, found: DataFrame) -> DataFrame:
+    """``key`` and path: of the array ``candidates`` the first one among the found paths; rows without one are absent."""
+    each = rows.select(*key, F.posexplode(candidates).alias("_ord", "path"))
+    return each.join(found.select("path").distinct(), "path").groupBy(*key).agg(F.min_by("path", "_ord").alias("path"))
+
+
+def processed_variants(manifest: DataFrame, overlays: DataFrame, found: DataFrame, base: str, output: str, dataset: str) -> DataFrame:
+    """stem, key, label, path of a page's variants that exist, and of overlays (stem, key, path) that are no variant already."""
+    named = variants(manifest, ()).select("stem", F.col("variant").alias("key"), path_candidates(F.col("path"), base, output, dataset).alias("c"))
+    own = first_existing(named, ["stem", "key"], "c", found)
+    more = overlays.join(found.select("path").distinct(), "path").join(own, ["stem", "key"], "left_anti")
+    labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return own.unionByName(more.select("stem", "key", "path")).withColumn("label", F.coalesce(F.try_element_at(labels, F.col("key")), F.replace("key", F.lit("_"), F.lit(" "))))
+
+
+def complete(stems: DataFrame, root: str, found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """stem, done, lacking: whether all expected artifacts of a page exist, so that a resumed run skips it, and which do not."""
+    paths = artifact_paths(F.col("stem"), root)
+    asked = stems.select("stem", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), paths[k].alias("path")) for k in keys])).alias("x")).select("stem", "x.*")
+    seen = asked.join(found.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    return seen.groupBy("stem").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("done"), F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("key")))).alias("lacking"))
+
+
+def quality_evidence(corrections: DataFrame, evidence: DataFrame) -> DataFrame:
+    """stem, statistics, uncertain of each correction (stem, evidence_path) by the evidence (path, statistics, uncertain) it names; unknown where there is none."""
+    met = corrections.join(evidence, corrections["evidence_path"] == evidence["path"], "left")
+    return met.select("stem", "statistics", F.coalesce("uncertain", F.lit(0)).alias("uncertain"))
+
+
 def run_view(summaries: DataFrame, *parts: DataFrame) -> DataFrame:
     """Summaries with whatever other documents their stems have."""
     for p in parts:
@@ -81,13 +166,43 @@ def run_view(summaries: DataFrame, *parts: DataFrame) -> DataFrame:
     return summaries
 
 
-#: Stage folders and file suffixes of one page's artifacts.
-ARTIFACTS = {
-    "manifest": ("preprocess", "_manifest.json"), "baseline_text": ("baseline", "_paddleocr_baseline.txt"), "baseline_json": ("baseline", "_paddleocr_baseline.json"),
-    "ensemble_text": ("ensemble", "_merged_ocr.txt"), "ensemble_json": ("ensemble", "_merged_ocr.json"), "corrected_text": ("llm", "_corrected.txt"), "corrected_json": ("llm", "_corrected.json"),
-    "summary": ("summary", "_summary.md"), "summary_json": ("summary", "_summary.json"), "quiz": ("quiz", "_quiz.md"), "quiz_json": ("quiz", "_quiz.json"),
-}
+def public_runs(runs: DataFrame, shown: DataFrame) -> DataFrame:
+    """What a viewer may see of each run: names and addresses instead of paths.
+
+    ``runs``: stem, summary_path, original (path or null), used_llm, provider, model; ``shown``: stem, key, label, path.
+    """
+    name = lambda p: F.regexp_extract(p, r"([^/\\]*)$", 1)
+    url = lambda k: F.concat(F.lit("/media/"), F.col("stem"), F.lit("/"), k)
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SHOWN_FIRST)), F.col("key")), F.lit(0)), F.lit(len(SHOWN_FIRST) + 1))
+    v = shown.withColumn("rank", rank).groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("key", "label", name(F.col("path")).alias("name"), url(F.col("key")).alias("url")))).alias("processed_variants"), F.min_by("key", F.struct("rank", "key")).alias("default_processed_key"))
+    original = F.when(F.col("original").isNotNull(), F.struct(F.lit("original").alias("key"), name(F.col("original")).alias("name"), url(F.lit("original")).alias("url")))
+    out = runs.join(v, "stem", "left")
+    return out.select("stem", F.replace("stem", F.lit("_"), F.lit(" ")).alias("display_name"), name(F.col("summary_path")).alias("summary_name"), F.coalesce("used_llm", F.lit(False)).alias("used_llm"), F.coalesce("provider", F.lit("")).alias("provider"), F.coalesce("model", F.lit("")).alias("model"), original.alias("original"), "processed_variants", F.coalesce("default_processed_key", F.lit("")).alias("default_processed_key"))
+
+
+def media(shown: DataFrame, runs: DataFrame, stem: str, key: str) -> DataFrame:
+    """path of one run's original or variant."""
+    own = runs.where(F.col("stem") == stem).select(F.lit("original").alias("key"), F.col("original").alias("path"))
+    return own.unionByName(shown.where(F.col("stem") == stem).select("key", "path")).where((F.col("key") == key) & F.col("path").isNotNull()).select("path")
+
+
+def is_local(url: str) -> bool:
+    """Whether an endpoint is on this machine and needs no key."""
+    return any(host in url for host in ("localhost", "127.0.0.1", "0.0.0.0", "::1"))
+
+
+def installed_models(listed: dict) -> list[str]:
+    """Names in a model server's list; the caller fetches it."""
+    return sorted({n for x in listed.get("models", []) if (n := x.get("name") or x.get("model"))})
+
+
+def check_model(model: str, listed: dict) -> None:
+    if model not in (names := installed_models(listed)):
+        raise RuntimeError(f"model {model!r} is not installed; there are: {', '.join(names) or 'none'}")
 
 
-def artifact_paths(stem: str, root: str) -> dict[str, str]:
-    return {k: f"{root}/{d}/{stem}{s}" for k, (d, s) in ARTIFACTS.items()}
+def pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, height, width, channels and raw pixels (blue, green, red) of images, decoded by Spark's own source; undecodable ones are an error."""
+    found = spark.read.format("image").option("dropInvalid", "false").load(folder)
+    known = F.when(F.col("image.height") > 0, F.col("image.height")).otherwise(F.raise_error(F.concat(F.lit("no image: "), F.col("image.origin"))).cast("int"))
+    return found.select(stem_of(F.col("image.origin")).alias("stem"), known.alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
