@@ -72,20 +72,21 @@ def test_correction_guards_and_summary(spark):
     pages = spark.createDataFrame([("a", "one line\nsecond line"), ("b", None)], "stem string, text string")
     got = {r["stem"]: r for r in correction.correct(pages, lambda m: "x" * 500).collect()}
     assert got["a"]["corrected_text"] == "one line\nsecond line" and not got["a"]["used_llm"]
-    got = {r["stem"]: r for r in correction.correct(pages, lambda m: m[-1]["content"].upper()).collect()}
+    got = {r["stem"]: r for r in correction.correct(pages, lambda m: m[-1]["content"].split("\n\n", 1)[1].upper()).collect()}
     assert got["a"]["corrected_text"] == "ONE LINE\nSECOND LINE" and got["a"]["used_llm"]
     assert correction.summarize(pages.where("stem = 'a'"), None).first()["validation_errors"] == []
 
 
 def test_quiz_is_repaired(spark):
     def client(messages):
-        names = messages[-1]["content"].split("\n")[0].split(", ")
-        if len(names) == 2 and "attempt" not in messages[0]["content"]:
+        asked = messages[0]["content"].split("三級標題")[-1]
+        names = [n for n in (*documents.QUESTIONS, *documents.ANSWERS) if n in asked]
+        if len(names) == 2 and "前一次" not in messages[0]["content"]:
             names = names[:1]  # leaves one section for the repair
         return "\n".join(f"## {n}\n" + "\n".join(f"{k}. q" for k in range(1, 6)) for n in names)
 
     r = correction.quiz(spark.createDataFrame([("a", "## 重點摘要\nx")], "stem string, summary string"), client, repairs=3).first()
-    assert r["validation_errors"] in ([], ["缺少小考章節：簡答題答案與解析"])
+    assert r["validation_errors"] == []
     assert all(s in r["quiz"] for s in documents.QUESTIONS)
 
 
@@ -96,9 +97,10 @@ def test_correction_sees_evidence_and_rebuilds_the_whole(spark, tmp_path):
     pages = spark.createDataFrame([("a", "法津"), ("b", "one line")], "stem string, text string")
 
     def client(m):
-        if "Rebuild" in m[0]["content"]:
-            return {"法律": "法律。", "ONE LINE": "ONE LINE " * 9}[m[-1]["content"]]
-        return "法律" if "- 法律 (信心 0.40, 來源 b)" in m[-1]["content"] else m[-1]["content"].upper()
+        said = m[-1]["content"].split("\n\n", 1)[1]
+        if "第二階段" in m[0]["content"]:
+            return {"法律": "法律。", "ONE LINE": "ONE LINE " * 9}[said]
+        return "法律" if "- 法律 (信心 0.40, 來源 b)" in said else said.upper()
 
     got = {r["stem"]: r["corrected_text"] for r in correction.correct(pages, client, evidence=seen).collect()}
     assert got == {"a": "法律。", "b": "ONE LINE"}  # the second rebuilt text is too long

@@ -132,13 +132,13 @@ def test_whole_documents_against_brute_force(spark, tmp_path):
     bare = {"strict": str.strip, "no_whitespace": lambda t: "".join(t.split())}
     want = {(str(k), p, m): reference_split(bare[p](t), bare[p](f(t))) for k, t in enumerate(texts) for p in bare for m, f in made.items() if f(t) is not None}
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {(r["stem"], r["profile"], r["method"]): r["edits"] for r in run("whole_cer_per_document")} == {k: sum(v) for k, v in want.items()}
+    assert {(r["stem"], r["profile"], r["method"]): r["edits"] for r in run("cer_per_document")} == {k: sum(v) for k, v in want.items()}
     totals = {(p, m): tuple(map(sum, zip(*[v for k, v in want.items() if k[1:] == (p, m)], strict=True))) for _, p, m in want}
     assert {(r["profile"], r["method"]): (r["substitutions"], r["deletions"], r["insertions"]) for r in run("edit_split")} == totals
-    assert {(r["profile"], r["method"]): (r["document_count"], r["edits"]) for r in run("whole_cer_micro_macro")} == {k: (sum(x[1:] == k for x in want), sum(v)) for k, v in totals.items()}
-    assert {(r["lang"], r["source"], r["method"]): r["edits"] for r in run("whole_cer_by_lang_source")} == {("en", "s", m): sum(v) for (p, m), v in totals.items() if p == "no_whitespace"}
-    assert {r["stem"]: [tuple(o) for o in r["ops"]] for r in run("opcodes")} == {str(k): difflib.SequenceMatcher(None, t, fold(t), autojunk=False).get_opcodes() for k, t in enumerate(texts)}
-    assert {(r["stem"], r["method"]) for r in run("whole_missing_predictions")} == {(str(k), "ensemble_only") for k, t in enumerate(texts) if "th" not in t}
+    assert {(r["profile"], r["method"]): (r["document_count"], r["edits"]) for r in run("cer_micro_macro")} == {k: (sum(x[1:] == k for x in want), sum(v)) for k, v in totals.items()}
+    assert {(r["lang"], r["source"], r["method"]): r["edits"] for r in run("cer_by_lang_source")} == {("en", "s", m): sum(v) for (p, m), v in totals.items() if p == "no_whitespace"}
+    assert {r["stem"]: [tuple(o) for o in r["ops"]] for r in run("opcodes_of_edits")} == {str(k): difflib.SequenceMatcher(None, t, fold(t), autojunk=False).get_opcodes() for k, t in enumerate(texts)}
+    assert {(r["stem"], r["method"]) for r in run("missing_predictions")} == {(str(k), "ensemble_only") for k, t in enumerate(texts) if "th" not in t}
 
 
 def test_long_pairs_against_brute_force():
