@@ -4,6 +4,7 @@ documents; those, splits and opcodes need Python."""
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from difflib import Match, SequenceMatcher
 from math import isqrt
@@ -113,13 +114,49 @@ def distance(reference: str, hypothesis: str) -> int:
     a, b = a[lo : len(a) - hi], b[lo : n - hi]
     if not b:
         return len(a)
-    mask, places = (1 << len(a)) - 1, _places(a)
+    places = _places(a)
+    # a band around the diagonal, as wide as a lower bound of the distance lets hope and twice as wide each time it was not enough
+    most = max(len(a) - len(b), (Counter(a) - Counter(b)).total()) * 9 // 8 + 8
+    while 4 * most < len(a):
+        if (found := _within(a, b, places, most)) is not None:
+            return found
+        most *= 2
+    mask = (1 << len(a)) - 1
     vp, vn = mask, 0
     for c in b:
         _, vp, vn = _column(places.get(c, 0), vp, vn, mask)
     return len(b) + vp.bit_count() - vn.bit_count()
 
 
+def _within(a: str, b: str, places: dict[str, int], most: int, block: int = 1024) -> int | None:
+    """The distance if it is at most ``most``, else None; ``a`` is not the shorter text, nor shorter than it by more.
+
+    The bit vectors hold the 2 * most + 1 diagonals of a band and slide down one row a column (Hyyrö). The score
+    is followed along the band's lower edge, then along the last row.
+    """
+    wide = 2 * most + 1
+    mask, edge = (1 << wide) - 1, 1 << (wide - 1)
+    vp, vn, score, corner, last = mask ^ ((1 << most) - 1), 0, most, len(a) - most, edge >> 1
+    for first in range(0, len(b), block):
+        # the rows that this block of columns meets, bit 0 the band's first row in its first column
+        top, part = first - most, (1 << (wide + block)) - 1
+        rows = {c: (x >> top if top >= 0 else x << -top) & part for c, x in places.items()}
+        for k, c in enumerate(b[first : first + block]):
+            eq = (rows.get(c, 0) >> k) & mask
+            d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
+            hp, hn = vn | (mask ^ (d0 | vp)), d0 & vp
+            if first + k < corner:
+                score += not d0 & edge
+            else:
+                score += bool(hp & last) - bool(hn & last)
+                last >>= 1
+            if score > 2 * most:
+                return None  # no way back: the rest of the last row can mend one edit a column of the band at most
+            down = d0 >> 1
+            vp, vn = hn | (mask ^ (down | hp)), down & hp
+    return score if score <= most else None
+
+
 def _long_split(a: str, b: str) -> tuple[int, int, int]:
     """The split of one pair by a backtrace; columns are kept for one block at a time and made again from its left edge."""
     mask, places, step = (1 << len(a)) - 1, _places(a), isqrt(len(b)) + 1

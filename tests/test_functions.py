@@ -1,4 +1,5 @@
 import random
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,18 @@ def test_chunks_and_sections(spark):
 @pytest.mark.parametrize(("out", "kept"), [("", "f"), ("x" * 44, "f"), ("x" * 45, "x" * 45), ("x" * 160, "x" * 160), ("x" * 161, "f")])
 def test_guard(spark, out, kept):
     assert one(spark, metrics.guarded(F.col("t"), F.lit("s" * 100), F.lit("f")), out) == kept
+
+
+def test_banded_distance_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choices("abc", k=rng.randint(2, 25)))
+        b = list(a)
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "d"])
+        a, b = sorted((a, "".join(b)), key=len, reverse=True)
+        want = sum(reference_split(a, b))
+        assert metrics.distance(a, b) == want
+        for most in range(max(1, len(a) - len(b)), len(a)):
+            assert metrics._within(a, b, metrics._places(a), most, rng.choice([1, 5, 64])) == (want if want <= most else None)
