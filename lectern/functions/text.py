@@ -61,7 +61,11 @@ def unify_newlines(text: Column) -> Column:
 def normalize_text(text: Column, remove_whitespace: bool, compose: bool = True) -> Column:
     """Evaluation form: NFC, one newline style, no outer white space, or none at all."""
     t = strip(unify_newlines(nfc(text) if compose else text))
-    return F.regexp_replace(t, f"{WS}+", "") if remove_whitespace else t
+    return without_spaces(t) if remove_whitespace else t
+
+
+def without_spaces(text: Column) -> Column:
+    return F.regexp_replace(text, f"{WS}+", "")
 
 
 def normalize_noise(text: Column, table: dict[str, str] | None = None, compose: bool = True) -> Column:

@@ -54,13 +54,21 @@ def check_complete(truth: DataFrame, predictions: DataFrame, required: tuple[str
         raise FileNotFoundError(f"Missing predictions: {[(r['stem'], r['method']) for r in lost]}")
 
 
+def _profiled(rows: DataFrame, name: str, compose: bool) -> DataFrame:
+    """The rows with their text in the form of each profile, as columns name_profile."""
+    strict, bare = (f"{name}_{p}" for p in PROFILES)
+    rows = rows.withColumn(strict, text.normalize_text(F.col("text"), False, compose)).drop("text")
+    return rows.withColumn(bare, text.without_spaces(F.col(strict)))
+
+
 def edit_statistics(truth: DataFrame, predictions: DataFrame, *, split: bool = False, compose: bool = True) -> DataFrame:
     """One row a (stem, profile, method): lengths, edits, cer and accuracy; with ``split`` also S, D and I.
 
     Texts are compared whole; distances go by bit vectors, as the built-in levenshtein takes a cell a pair of characters.
     """
-    pairs = predictions.select("stem", "method", F.col("text").alias("hyp")).join(truth.select("stem", F.col("text").alias("ref")), "stem")
-    both = [F.struct(F.lit(p).alias("profile"), text.normalize_text(F.col("ref"), p != "strict", compose).alias("r"), text.normalize_text(F.col("hyp"), p != "strict", compose).alias("h")) for p in PROFILES]
+    # every text is normalised once, references before the join repeats them
+    pairs = _profiled(predictions.select("stem", "method", "text"), "h", compose).join(_profiled(truth.select("stem", "text"), "r", compose), "stem")
+    both = [F.struct(F.lit(p).alias("profile"), F.col(f"r_{p}").alias("r"), F.col(f"h_{p}").alias("h")) for p in PROFILES]
     long = pairs.select("stem", "method", F.explode(F.array(*both)).alias("x")).select("stem", "method", "x.*")
     n, m = F.length("r"), F.length("h")
     facts = long.withColumns({"reference_characters": n, "hypothesis_characters": m, "edits": metrics.edit_distance(F.col("r"), F.col("h"))})
