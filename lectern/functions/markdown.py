@@ -1,6 +1,7 @@
 """Markdown of summaries and quizzes as HTML.
 
 Lines are classed once (blank, table, heading, item, text); every run of like lines is one block.
+Inline marks are paired in one scan of a block's text; list tags come from the nesting of neighbouring items.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import html
 import re
 import sys
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, chain, groupby, islice, pairwise, repeat
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -21,19 +22,45 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RULE = re.compile(r"\s*\|*\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|*\s*")
 HEADING = re.compile(r"(#{1,6})\s+(.+)")
 ITEM = re.compile(r"(\s*)(?:([-*+])|\d+\.)\s+(.+)")
-# Inline marks and what they become, in order.
-INLINE = (
-    (re.compile(r"`([^`]+)`"), r"<code>\1</code>"),
-    (re.compile(r"\*\*([^*]+)\*\*"), r"<strong>\1</strong>"),
-    (re.compile(r"\$([^$]+)\$"), r'<span class="math">\1</span>'),
-)
+# The tags of the inline marks.
+TAGS = {
+    "`": ("<code>", "</code>"),
+    "**": ("<strong>", "</strong>"),
+    "$": ('<span class="math">', "</span>"),
+}
+MARKS = re.compile(r"`|\$|\*+")
+
+
+def tags(t: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, tag) of the marks that have a partner, found in one scan.
+
+    A mark closes the open one of its kind unless nothing stands between them, and opens the next otherwise. Of a
+    run of asterisks the first two may close and the last two open; a lone one ends what was open. Marks of
+    different kinds may cross.
+    """
+    waiting: dict[str, int] = {}
+    for run in MARKS.finditer(t):
+        lo, hi = run.span()
+        mark = "**" if t[lo] == "*" else t[lo]
+        opened = waiting.pop(mark, None)
+        if opened is not None and hi - lo >= len(mark) and lo - opened > len(mark):
+            yield opened, opened + len(mark), TAGS[mark][0]
+            yield lo, lo + len(mark), TAGS[mark][1]
+            lo += len(mark)
+        if hi - lo >= len(mark):
+            waiting[mark] = hi - len(mark)
+
+
+def literal(t: str) -> str:
+    return html.escape(t).replace(r"\rightarrow", "→")
 
 
 def inline(t: str) -> str:
-    t = html.escape(t).replace(r"\rightarrow", "→")
-    for mark, put in INLINE:
-        t = mark.sub(put, t)
-    return t
+    out, done = [], 0
+    for lo, hi, tag in sorted(tags(t)):
+        out += literal(t[done:lo]), tag
+        done = hi
+    return "".join([*out, literal(t[done:])])
 
 
 def classed(lines: list[str]) -> Iterator[tuple[str, int, str]]:
@@ -60,30 +87,38 @@ def classed(lines: list[str]) -> Iterator[tuple[str, int, str]]:
             yield "text", 0, bare
 
 
-def cells(line: str) -> list[str]:
-    return [inline(c.strip()) for c in line.strip().strip("|").split("|")]
+def table_row(line: str, tag: str) -> list[str]:
+    return [f"<{tag}>{inline(c.strip())}</{tag}>" for c in line.strip().strip("|").split("|")]
 
 
 def table_block(lines: list[str]) -> str:
-    head, body = cells(lines[0]), [cells(x) for x in lines[2:]]
-    wide = len(head)
-    rows = ["".join(f"<td>{c}</td>" for c in (r + [""] * wide)[:wide]) for r in body]
-    return f"<table><thead><tr>{''.join(f'<th>{c}</th>' for c in head)}</tr></thead><tbody>{''.join(f'<tr>{r}</tr>' for r in rows)}</tbody></table>"
+    """Rows are filled up or cut to the width of the head; the second line is the rule."""
+    head = table_row(lines[0], "th")
+    body = ("".join(islice(chain(table_row(line, "td"), repeat("<td></td>")), len(head))) for line in lines[2:])
+    return f"<table><thead><tr>{''.join(head)}</tr></thead><tbody>{''.join(f'<tr>{row}</tr>' for row in body)}</tbody></table>"
+
+
+def nested(above: tuple[str, ...], item: tuple[str, str | None, str]) -> tuple[str, ...]:
+    """Kinds of the lists around an item, outermost first, given those around the item above it.
+
+    Four columns of indent are one level; a list of the other kind at its level takes the open one's place.
+    """
+    indent, bullet, _ = item
+    kind, depth = "ul" if bullet else "ol", (len(indent) + 3 * indent.count("\t")) // 4 + 1
+    kept = above[: depth - 1] if above[depth - 1 : depth] != (kind,) else above[:depth]
+    return kept + (kind,) * (depth - len(kept))
 
 
 def list_block(lines: list[str]) -> Iterator[str]:
-    """Four columns of indent are one level; a list of the other kind at its level takes the open one's place."""
-    nest: list[str] = []
-    for line in lines:
-        indent, bullet, said = ITEM.match(line).groups()
-        kind, depth = "ul" if bullet else "ol", len(indent.replace("\t", " " * 4)) // 4 + 1
-        while len(nest) > depth or (len(nest) == depth and nest[-1] != kind):
-            yield f"</{nest.pop()}>"
-        for _ in range(depth - len(nest)):
-            nest.append(kind)
-            yield f"<{kind}>"
-        yield f"<li>{inline(said)}</li>"
-    yield from (f"</{k}>" for k in reversed(nest))
+    """Items, with the tags by which the lists around neighbours differ between them."""
+    items = [ITEM.match(line).groups() for line in lines]
+    around = [*accumulate(items, nested, initial=()), ()]
+    for k, (above, here) in enumerate(pairwise(around)):
+        same = next((i for i, (a, b) in enumerate(zip(above, here)) if a != b), min(len(above), len(here)))
+        yield from (f"</{kind}>" for kind in reversed(above[same:]))
+        yield from (f"<{kind}>" for kind in here[same:])
+        if k < len(items):
+            yield f"<li>{inline(items[k][2])}</li>"
 
 
 def render(markdown: str) -> str:

@@ -29,6 +29,12 @@ REPLACEMENTS = (
 )
 # Characters that betray wrongly decoded text.
 MOJIBAKE = "\ufffd\u929d\u5697\uef3c\u0080\uf5f9\uf697"
+# What a model's thinking blocks, an outer Markdown fence and a numbered item look like.
+THINKING = (r"(?s)<think>.*?</think>", r"(?s)<\|channel\>thought.*?<channel\|>")
+FENCE_OPENS, FENCE_CLOSES = r"(?i)^```(?:markdown|md)?(?U:\s)*", r"(?U:\s)*```(?U:\s)*$"
+NUMBERED = r"(?mU)^\s*(?:[-*]\s*)?(?:\*\*)?(?:Q\s*)?\d+\s*(?:[.、)]|\*\*[.、)]?)\s*"
+# White space and punctuation that comparison ignores.
+IGNORED = rf"{WS}|[，。；：、,.!?！？()（）]"
 UNKNOWN = "未知"
 
 
@@ -84,25 +90,25 @@ def normalize_noise(text: Column, table: dict[str, str] | None = None, compose:
 
 def candidate_key(text: Column) -> Column:
     """Comparison form of a candidate: no white space, no common punctuation."""
-    return F.regexp_replace(text, rf"{WS}|[，。；：、,.!?！？()（）]", "")
+    return F.regexp_replace(text, IGNORED, "")
 
 
 def strip_artifacts(text: Column) -> Column:
     """Without a model's thinking blocks."""
-    t = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    t = F.regexp_replace(t, r"(?s)<\|channel\>thought.*?<channel\|>", "")
-    return strip(t)
+    for block in THINKING:
+        text = F.regexp_replace(text, block, "")
+    return strip(text)
 
 
 def strip_fences(text: Column) -> Column:
     """Without one Markdown fence around the whole."""
-    t = F.regexp_replace(strip(text), r"(?i)^```(?:markdown|md)?(?U:\s)*", "")
-    return strip(F.regexp_replace(t, r"(?U:\s)*```(?U:\s)*$", ""))
+    t = F.regexp_replace(strip(text), FENCE_OPENS, "")
+    return strip(F.regexp_replace(t, FENCE_CLOSES, ""))
 
 
 def count_numbered(text: Column) -> Column:
     """Numbered items: an optional bullet, bold mark or Q, digits, and a closing mark."""
-    return F.regexp_count(text, F.lit(r"(?mU)^\s*(?:[-*]\s*)?(?:\*\*)?(?:Q\s*)?\d+\s*(?:[.、)]|\*\*[.、)]?)\s*"))
+    return F.regexp_count(text, F.lit(NUMBERED))
 
 
 def has_mojibake(text: Column) -> Column:

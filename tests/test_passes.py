@@ -21,6 +21,21 @@ def test_markdown():
     assert markdown.render("") == "" and markdown.render("| no table |\nx") == "<p>| no table | x</p>" and markdown.render("## a\n## b") == "<h2>a</h2>\n<h2>b</h2>"
 
 
+def test_inline_marks():
+    said = {
+        "**a `b** c`": "<strong>a <code>b</strong> c</code>", "``a`": "`<code>a</code>", "***a****b**": "*<strong>a</strong><strong>b</strong>", "**a*b**": "**a*b**",
+        "$$x$ < y$": '$<span class="math">x</span> &lt; y$', "** `": "** `", "": "", "`\\rightarrow`": "<code>→</code>",
+    }
+    assert {t: markdown.inline(t) for t in said} == said
+
+
+def test_nested_lists():
+    said = "    - a\n1. b\n\t\t2. c\n    - d"
+    assert markdown.render(said).split("\n") == [
+        "<ul>", "<ul>", "<li>a</li>", "</ul>", "</ul>", "<ol>", "<li>b</li>", "<ol>", "<ol>", "<li>c</li>", "</ol>", "</ol>", "<ul>", "<li>d</li>", "</ul>", "</ol>",
+    ]
+
+
 def test_html_column(spark):
     got = spark.createDataFrame([("# a",), (None,), ("",)], "t string").select(markdown.to_html(F.col("t")).alias("h")).collect()
     assert [r["h"] for r in got] == ["<h1>a</h1>", None, ""]
