@@ -68,7 +68,7 @@ class Shingler:
     back to the start of the text, then mixed; upper-case A-Z have the values of a-z.
     """
 
-    PIECE = 1 << 20
+    PIECE = 1 << 18
 
     def __init__(self, n: int):
         self.n = n
@@ -214,10 +214,18 @@ def _profiles(n: int):
 
         def count():
             nonlocal held, counts
-            v, c = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh]), return_counts=True)
-            both, where = np.unique(np.concatenate([held, v]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([counts, c]), len(both)).astype(np.int64)
+            every = np.concatenate([np.empty(0, np.uint64), *fresh])
+            fresh.clear()
+            every.sort()
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+            v, c = every[first], np.diff(first, append=len(every))
+            del every, first
+            at = np.minimum(np.searchsorted(held, v), max(len(held) - 1, 0))
+            known = held[at] == v if len(held) else np.zeros(len(v), bool)
+            counts[at[known]] += c[known]
+            both, total = np.r_[held, v[~known]], np.r_[counts, c[~known]]
             top = np.argpartition(total, len(total) - CARRIED)[-CARRIED:] if len(total) > CARRIED else np.arange(len(total))
+            top = top[np.argsort(both[top])]
             held, counts = both[top], total[top]
 
         def flush():
@@ -236,7 +244,6 @@ def _profiles(n: int):
                 rows.clear()
             if size >= CHUNK:
                 count()
-                fresh.clear()
                 size = 0
         yield flush()
         count()
