@@ -10,6 +10,7 @@ import json
 import sys
 import urllib.request
 from collections.abc import Callable
+from http.client import HTTPException
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -33,17 +34,18 @@ def instructed(messages: Column, shared: str = prompts.SHARED) -> Column:
 def ask(rows: DataFrame, client: Callable[[list[dict]], str], column: str = "messages", into: str = "output", *, grounded: bool = False, table: dict[str, str] | None = None) -> DataFrame:
     """The rows with the client's answer, its script converted; a failed call gives null, which the guards replace.
 
+    Rows without messages are not asked and have null too.
     Every call carries the shared instruction, ``grounded`` ones also the one against unsupported content.
     """
-    schema = rows.drop(column).withColumn(into, F.lit("")).schema
+    schema = rows.drop(column).withColumn(into, F.lit(None).cast("string")).schema
 
     def run(batches):
         for pdf in batches:
             said = []
             for m in pdf[column]:
                 try:
-                    said.append(client([{"role": x["role"], "content": x["content"]} for x in m]))
-                except (OSError, ValueError):
+                    said.append(None if m is None else client([{"role": x["role"], "content": x["content"]} for x in m]))
+                except (OSError, ValueError, LookupError, HTTPException):  # no answer, or one of another form
                     said.append(None)
             yield pdf.drop(columns=[column]).assign(**{into: pd.Series(said, dtype=object)})
 
@@ -110,9 +112,10 @@ def quiz(summaries: DataFrame, client: Callable | None, *, count: int = 5, repai
         lacking = F.array_except(F.array(*map(F.lit, wanted)), F.map_keys("parts"))
         wording = {0: prompts.objective_questions(F.col("source"), count), 1: prompts.short_questions(F.col("source"), count)}.get(k, prompts.quiz_repair(F.col("source"), lacking, count))
         asked = parts.withColumn("messages", F.when(F.size(lacking) > 0, wording))
-        todo = ask(asked.where("messages is not null"), client).withColumn("new", documents.normalize_quiz(F.coalesce("output", F.lit("")), names))
+        # one chain of plans, so that no call is made twice: complete rows pass through unasked
+        heard = ask(asked, client).withColumn("new", documents.normalize_quiz(F.coalesce("output", F.lit("")), names))
         fresh = F.map_filter("new", lambda n, _: ~F.map_contains_key("parts", n))
-        parts = todo.select("stem", "source", F.map_concat("parts", fresh).alias("parts")).unionByName(asked.where("messages is null").drop("messages"))
+        parts = heard.select("stem", "source", F.map_concat("parts", fresh).alias("parts"))
     whole = F.map_concat(F.map_from_arrays(F.array_except(F.array(*map(F.lit, names)), F.map_keys("parts")), F.transform(F.array_except(F.array(*map(F.lit, names)), F.map_keys("parts")), lambda _: F.lit(""))), "parts")
     out = parts.select("stem", documents.assemble_quiz(whole, whole).alias("quiz"))
     return out.withColumn("validation_errors", documents.validate_quiz(F.col("quiz"), count))

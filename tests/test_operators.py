@@ -90,6 +90,22 @@ def test_quiz_is_repaired(spark):
     assert all(s in r["quiz"] for s in documents.QUESTIONS)
 
 
+def test_quiz_asks_once_a_round(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def client(messages):
+        with log.open("a") as f:
+            f.write("x\n")
+        if "壞" in messages[-1]["content"] + messages[0]["content"]:
+            raise KeyError("choices")
+        return "\n".join(f"## {n}\n" + "\n".join(f"{k}. q" for k in range(1, 6)) for n in (*documents.QUESTIONS, *documents.ANSWERS))
+
+    one = lambda said: correction.quiz(spark.createDataFrame([("a", f"## 重點摘要\n{said}")], "stem string, summary string"), client, repairs=3).collect()
+    assert one("x")[0]["validation_errors"] == [] and len(log.read_text().split()) == 1  # all there after the first answer
+    log.unlink()
+    assert one("壞")[0]["validation_errors"] != [] and len(log.read_text().split()) == 5
+
+
 def test_correction_sees_evidence_and_rebuilds_the_whole(spark, tmp_path):
     region = {"id": 1, "text": "法津", "confidence": 0.5, "source": "a", "alternatives": [{"text": "法律", "confidence": 0.4, "source": "b"}]}
     (tmp_path / "a_merged_ocr.json").write_text(json.dumps({"statistics": {"raw_candidate_count": 7}, "clean_results": [region]}), encoding="utf-8")
