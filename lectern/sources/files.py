@@ -131,16 +131,19 @@ def path_candidates(value: Column, base: str, output: str, dataset: str) -> Colu
 
 
 def first_existing(rows: DataFrame, key: list[str], candidates: str, found: DataFrame) -> DataFrame:
-    """``key`` and path: of the array ``candidates`` the first one among the found paths; rows without one are absent."""
+    """``key`` and path: of the array ``candidates`` the first one among the found paths; rows without one are absent.
+
+    Paths are merged, never broadcast: sizes are guessed from what arrays come from, and all paths would go through the driver.
+    """
     each = rows.select(*key, F.posexplode(candidates).alias("_ord", "path"))
-    return each.join(found.select("path").distinct(), "path").groupBy(*key).agg(F.min_by("path", "_ord").alias("path"))
+    return each.join(found.select("path").distinct().hint("merge"), "path").groupBy(*key).agg(F.min_by("path", "_ord").alias("path"))
 
 
 def processed_variants(manifest: DataFrame, overlays: DataFrame, found: DataFrame, base: str, output: str, dataset: str) -> DataFrame:
     """stem, key, label, path of a page's variants that exist, and of overlays (stem, key, path) that are no variant already."""
     named = variants(manifest, ()).select("stem", F.col("variant").alias("key"), path_candidates(F.col("path"), base, output, dataset).alias("c"))
     own = first_existing(named, ["stem", "key"], "c", found)
-    more = overlays.join(found.select("path").distinct(), "path").join(own, ["stem", "key"], "left_anti")
+    more = overlays.join(found.select("path").distinct().hint("merge"), "path").join(own.hint("merge"), ["stem", "key"], "left_anti")
     labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     return own.unionByName(more.select("stem", "key", "path")).withColumn("label", F.coalesce(F.try_element_at(labels, F.col("key")), F.replace("key", F.lit("_"), F.lit(" "))))
 
@@ -149,7 +152,7 @@ def complete(stems: DataFrame, root: str, found: DataFrame, keys: tuple[str, ...
     """stem, done, lacking: whether all expected artifacts of a page exist, so that a resumed run skips it, and which do not."""
     paths = artifact_paths(F.col("stem"), root)
     asked = stems.select("stem", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), paths[k].alias("path")) for k in keys])).alias("x")).select("stem", "x.*")
-    seen = asked.join(found.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    seen = asked.join(found.select("path", F.lit(True).alias("there")).distinct().hint("merge"), "path", "left")
     return seen.groupBy("stem").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("done"), F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("key")))).alias("lacking"))
 
 

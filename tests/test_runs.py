@@ -116,3 +116,10 @@ def test_sections_take_linear_time(spark):
     seconds(10)
     few, many = seconds(1000), seconds(8000)
     assert many < 16 * few + 4
+
+
+def test_found_paths_are_not_broadcast(spark):
+    rows = spark.range(20).select("id", F.array(F.format_string("/a/%d", "id"), F.format_string("/b/%d", "id")).alias("c"))
+    got = files.first_existing(rows, ["id"], "c", spark.range(10).select(F.format_string("/b/%d", "id").alias("path")))
+    assert {r["id"]: r["path"] for r in got.collect()} == {k: f"/b/{k}" for k in range(10)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
