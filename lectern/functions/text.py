@@ -70,6 +70,18 @@ def normalize_text(text: Column, remove_whitespace: bool, compose: bool = True)
     return without_spaces(t) if remove_whitespace else t
 
 
+def evaluation_forms(text: str | None, compose: bool = True) -> tuple[str | None, str | None]:
+    """A text as ``normalize_text`` gives it, in plain Python: with inner white space and without any."""
+    import unicodedata
+
+    if text is None:
+        return None, None
+    t = text if text.isascii() or not compose else unicodedata.normalize("NFC", text)
+    t = t.replace("\r\n", "\n").replace("\r", "\n").strip()
+    bare = t.replace(" ", "").replace("\n", "")  # most of it in one go
+    return t, "".join(bare.split())
+
+
 def without_spaces(text: Column) -> Column:
     return F.regexp_replace(text, f"{WS}+", "")
 

@@ -6,7 +6,7 @@ they are listed, and required ones are an error for the caller to raise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, text
@@ -54,28 +54,17 @@ def check_complete(truth: DataFrame, predictions: DataFrame, required: tuple[str
         raise FileNotFoundError(f"Missing predictions: {[(r['stem'], r['method']) for r in lost]}")
 
 
-def _profiled(rows: DataFrame, name: str, compose: bool) -> DataFrame:
-    """The rows with their text in the form of each profile, as columns name_profile."""
-    strict, bare = (f"{name}_{p}" for p in PROFILES)
-    rows = rows.withColumn(strict, text.normalize_text(F.col("text"), False, compose)).drop("text")
-    return rows.withColumn(bare, text.without_spaces(F.col(strict)))
-
-
 def edit_statistics(truth: DataFrame, predictions: DataFrame, *, split: bool = False, compose: bool = True) -> DataFrame:
     """One row a (stem, profile, method): lengths, edits, cer and accuracy; with ``split`` also S, D and I.
 
-    Texts are compared whole; distances go by bit vectors, as the built-in levenshtein takes a cell a pair of characters.
+    Texts are compared whole, both profiles in one pass over a pair.
     """
-    # every text is normalised once, references before the join repeats them
-    pairs = _profiled(predictions.select("stem", "method", "text"), "h", compose).join(_profiled(truth.select("stem", "text"), "r", compose), "stem")
-    both = [F.struct(F.lit(p).alias("profile"), F.col(f"r_{p}").alias("r"), F.col(f"h_{p}").alias("h")) for p in PROFILES]
-    long = pairs.select("stem", "method", F.explode(F.array(*both)).alias("x")).select("stem", "method", "x.*")
-    n, m = F.length("r"), F.length("h")
-    facts = long.withColumns({"reference_characters": n, "hypothesis_characters": m, "edits": metrics.edit_distance(F.col("r"), F.col("h"))})
-    if split:
-        facts = facts.withColumn("s", metrics.edit_split(F.col("r"), F.col("h"))).select("*", "s.*").drop("s")
+    pairs = predictions.select("stem", "method", F.col("text").alias("h")).join(truth.select("stem", F.col("text").alias("r")), "stem")
+    made = pairs.select("stem", "method", metrics.edit_facts(F.col("r"), F.col("h"), split, compose).alias("f"))
+    both = [F.struct(F.lit(p).alias("profile"), f"f.{k}.*") for p, k in zip(PROFILES, ("strict", "bare"), strict=True)]
+    facts = made.select("stem", "method", F.inline(F.array(*both)))
     cer = metrics.rate(F.col("edits"), F.col("reference_characters"), F.col("hypothesis_characters"))
-    return facts.withColumn("cer", cer).withColumn("character_accuracy", metrics.accuracy(F.col("cer"))).drop("r", "h")
+    return facts.withColumn("cer", cer).withColumn("character_accuracy", metrics.accuracy(F.col("cer")))
 
 
 def aggregate(facts: DataFrame) -> DataFrame:
@@ -109,8 +98,9 @@ def improvement(aggregates: DataFrame, base: str, proposed: str) -> DataFrame:
 def ablation(aggregates: DataFrame, dimension: DataFrame, baseline: str = "raw_paddleocr") -> DataFrame:
     """Rates by profile and setting with the difference to the baseline and to the setting's parent."""
     a = aggregates.select("profile", F.col("method").alias("setting_id"), "document_count", "reference_characters", "edits", F.col("micro_cer").alias("cer"), F.col("micro_character_accuracy").alias("character_accuracy"))
+    # a window over the few aggregates: joins with themselves would count everything once more for each
+    a = a.withColumn("_all", F.collect_list(F.struct("setting_id", "cer")).over(Window.partitionBy("profile")))
     rows = a.join(F.broadcast(dimension.select(F.col("id").alias("setting_id"), "parent_id")), "setting_id")
-    parent = a.select("profile", F.col("setting_id").alias("parent_id"), F.col("cer").alias("parent_cer"))
-    base = a.where(F.col("setting_id") == baseline).select("profile", F.col("cer").alias("base_cer"))
-    out = rows.join(parent, ["profile", "parent_id"], "left").join(base, "profile", "left")
-    return out.withColumn("delta_cer_vs_baseline", F.col("cer") - F.col("base_cer")).withColumn("delta_cer_vs_parent", F.col("cer") - F.col("parent_cer")).drop("base_cer", "parent_cer")
+    cer = lambda name: F.get(F.filter("_all", lambda x: x["setting_id"] == name), F.lit(0))["cer"]
+    out = rows.withColumn("delta_cer_vs_baseline", F.col("cer") - cer(F.lit(baseline))).withColumn("delta_cer_vs_parent", F.col("cer") - cer(F.col("parent_id")))
+    return out.select("profile", "setting_id", "parent_id", *a.columns[2:-1], "delta_cer_vs_baseline", "delta_cer_vs_parent")

@@ -53,15 +53,20 @@ def decomposed(t):
     return t
 
 
+def swapped(t, letter, other):
+    """Another letter in place of one that has no mark: an edit of decomposed text, which is decomposed once for all edits."""
+    return F.regexp_replace(t, f"{letter}(?![\u0300-\u036f])", other)
+
+
 def predictions(s: DataFrame) -> DataFrame:
-    t = F.col("text")
+    t, apart = F.col("text"), F.col("_apart")
     made = F.array(
-        F.struct(F.lit("paddleocr_baseline").alias("method"), decomposed(F.replace(t, F.lit("e"), F.lit(""))).alias("text")),
-        F.when(F.contains(t, F.lit("th")), F.struct(F.lit("ensemble_only").alias("method"), decomposed(F.translate(t, "ao", "@0")).alias("text"))),
+        F.struct(F.lit("paddleocr_baseline").alias("method"), swapped(apart, "e", "").alias("text")),
+        F.when(F.contains(t, F.lit("th")), F.struct(F.lit("ensemble_only").alias("method"), swapped(swapped(apart, "a", "@"), "o", "0").alias("text"))),
         F.struct(F.lit("ensemble_llm").alias("method"), F.concat(t, F.lit(" end")).alias("text")),
     )
     keep = [c for c in s.columns if c != "text"]
-    return s.select(*keep, F.explode(F.array_compact(made)).alias("m")).select(*keep, "m.*")
+    return s.withColumn("_apart", decomposed(t)).select(*keep, F.explode(F.array_compact(made)).alias("m")).select(*keep, "m.*")
 
 
 _W = r"[\t-\r\x1c-\x20\x{85}\pZ]"
@@ -121,13 +126,13 @@ def improvement(spark, sf_dir):
     return _millionths(out, "base_cer", "proposed_cer", "absolute_reduction", "relative_reduction")
 
 
-# each prediction: its setting, the edit, the same in SQL, and the characters it trades for others
+# each prediction: its setting, the edit of decomposed text, the same in SQL on composed text, and the characters it trades for others
 _EDITS = (
-    ("raw_paddleocr", lambda t: F.replace(t, F.lit("e"), F.lit("")), "replace(text, 'e', '')", ""),
+    ("raw_paddleocr", lambda t: swapped(t, "e", ""), "replace(text, 'e', '')", ""),
     ("document_rectification", lambda t: F.replace(t, F.lit("th"), F.lit("h")), "replace(text, 'th', 'h')", ""),
-    ("blue_ink_extraction", lambda t: F.replace(t, F.lit("n"), F.lit("m")), "replace(text, 'n', 'm')", "n"),
-    ("line_removal", lambda t: F.translate(t, "ao", "@0"), "translate(text, 'ao', '@0')", "ao"),
-    ("multi_variant_ensemble", lambda t: F.replace(t, F.lit("i"), F.lit("")), "replace(text, 'i', '')", ""),
+    ("blue_ink_extraction", lambda t: swapped(t, "n", "m"), "replace(text, 'n', 'm')", "n"),
+    ("line_removal", lambda t: swapped(swapped(t, "a", "@"), "o", "0"), "translate(text, 'ao', '@0')", "ao"),
+    ("multi_variant_ensemble", lambda t: swapped(t, "i", ""), "replace(text, 'i', '')", ""),
     ("rule_based_normalization", lambda t: F.replace(t, F.lit(","), F.lit("")), "replace(text, ',', '')", ""),
     ("llm_correction", lambda t: t, "text", ""),
 )
@@ -141,8 +146,8 @@ SELECT c.profile, d.setting_id, d.parent_id, c.document_count, c.reference_chara
 FROM a c JOIN d ON d.setting_id = c.method LEFT JOIN a p ON p.method = d.parent_id AND p.profile = c.profile LEFT JOIN a b ON b.method = 'raw_paddleocr' AND b.profile = c.profile""")
 def ablation_deltas(spark, sf_dir):
     s = whole(spark, sf_dir).select("stem", "text")
-    made = F.array(*[F.struct(F.lit(n).alias("method"), decomposed(f(F.col("text"))).alias("text")) for n, f, _, _ in _EDITS])
-    p = s.select("stem", F.explode(made).alias("m")).select("stem", "m.*")
+    made = F.array(*[F.struct(F.lit(n).alias("method"), f(F.col("text")).alias("text")) for n, f, _, _ in _EDITS])
+    p = s.select("stem", decomposed(F.col("text")).alias("text")).select("stem", F.explode(made).alias("m")).select("stem", "m.*")
     out = evaluate.ablation(evaluate.aggregate(evaluate.edit_statistics(s, p)), evaluate.settings(spark))
     return _millionths(out, "cer", "character_accuracy", "delta_cer_vs_baseline", "delta_cer_vs_parent")
 

@@ -77,3 +77,45 @@ def test_banded_distance_against_brute_force():
         assert metrics.distance(a, b) == want
         for most in range(max(1, len(a) - len(b)), len(a)):
             assert metrics._within(a, b, metrics._places(a), most, rng.choice([1, 5, 64])) == (want if want <= most else None)
+
+
+def test_bounds_that_meet():
+    rng = random.Random(8)
+    met = 0
+    for k in range(3000):
+        a = "".join(rng.choices("abc中😀", k=rng.randint(0, 12)))
+        b = ["".join(rng.choices("abc中😀", k=rng.randint(0, 12))), a.replace("a", ""), a.replace("b", "d"), a + "x", a[: rng.randint(0, 12)] + a[rng.randint(0, 12) :], a.replace("ab", "b")][k % 6]
+        want = reference_split(a, b)
+        for x, y, split in ((a, b, want), (b, a, reference_split(b, a))):
+            assert metrics._met(x, y) in (None, split) and metrics.distance(x, y) == sum(split) and metrics.split_many([x], [y], 0) == [split]
+        met += metrics._met(a, b) is not None
+        if k % 6 in (1, 3, 5):
+            assert metrics._met(a, b) == want
+    assert met > 1500
+
+
+def test_whole_texts_in_linear_time():
+    from unittest import mock
+
+    rng = random.Random(9)
+    t = "".join(rng.choices("abcdefghinot ,", k=400_000))
+    with mock.patch.object(metrics, "_column", side_effect=AssertionError), mock.patch.object(metrics, "_within", side_effect=AssertionError):
+        for b in (t.replace("e", ""), t.replace("th", "h"), t.replace("n", "m"), t.translate(str.maketrans("ao", "@0")), t + " end"):
+            s, d, i = metrics.split_edits(t, b)
+            assert (s, d, i) == (sum(x != y for x, y in zip(t, b, strict=True)) if len(t) == len(b) else 0, max(0, len(t) - len(b)), max(0, len(b) - len(t)))
+            assert metrics.distance(t, b) == s + d + i
+
+
+def test_forms_in_python_are_those_of_columns(spark):
+    texts = [f" {c}a{c}{c} b\r\n\rc{c}" for c in map(chr, (*range(1, 0x3100), 0xFEFF, 0x1F600)) if not 0xD800 <= ord(c) < 0xE000]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.normalize_text(t, False).alias("s"), text.normalize_text(t, True).alias("b"), text.normalize_text(t, False, False).alias("raw")).collect()
+    assert all(text.evaluation_forms(r["t"]) == (r["s"], r["b"]) and text.evaluation_forms(r["t"], False)[0] == r["raw"] for r in rows)
+    assert len(rows) == len(texts)
+
+
+def test_facts_of_null_texts(spark):
+    rows = spark.createDataFrame([(1, "a b", "ab"), (2, None, "ab"), (3, "ab", None)], "k int, r string, h string")
+    got = {r["k"]: r["f"] for r in rows.select("k", metrics.edit_facts(F.col("r"), F.col("h"), True).alias("f")).collect()}
+    assert tuple(got[1]["strict"]) == (3, 2, 1, 0, 1, 0) and tuple(got[1]["bare"]) == (2, 2, 0, 0, 0, 0)
+    assert tuple(got[2]["bare"]) == (None, 2, None, 0, 0, 2) and tuple(got[3]["strict"]) == (2, None, None, 0, 2, 0)

@@ -174,3 +174,14 @@ def test_error_details_reads_the_table(spark, tmp_path):
     spark.createDataFrame([(1, "the quick bath", "en", "s"), (2, "no errors", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["error_details"](spark, str(tmp_path)).orderBy("stem", "ord").collect()
     assert [(r["stem"], r["error_type"], r["example"], r["raw_ocr"], r["corrected"], r["success"]) for r in got] == [("1", "缺字", "GT「t」", "∅", "t", "是"), ("1", "缺字", "GT「t」", "∅", "t", "是")]
+
+
+def test_ablation_counts_each_pair_once(spark, tmp_path):
+    from lectern.plans import registry
+
+    spark.createDataFrame([(1, "the quick é bath", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["ablation_deltas"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r["setting_id"]: (r["edits"], r["delta_cer_vs_baseline"], r["delta_cer_vs_parent"]) for r in df.where("profile = 'no_whitespace'").collect()}
+    each = round(1e6 / 13)
+    assert got["raw_paddleocr"] == (1, 0, None) and got["line_removal"] == (1, 0, 0) and got["llm_correction"] == (0, -each, 0) and got["multi_variant_ensemble"] == (1, 0, 0)
