@@ -123,3 +123,13 @@ def test_correction_sees_evidence_and_rebuilds_the_whole(spark, tmp_path):
     said = correction.summarize(pages, lambda m: "## 本頁主題\n" + ("noted" if "原始候選數：7" in m[-1]["content"] and "區域數：1" in m[-1]["content"] else "unknown" if "候選數：未知" in m[-1]["content"] else "none"), evidence=seen)
     got = {r["stem"]: r["summary"] for r in said.collect()}
     assert "noted" in got["a"] and "unknown" in got["b"]
+
+
+def test_splits_of_whole_texts_come_from_bounds(spark):
+    """Forced splits beside ones that need an alignment, in one batch; the long text's would need 10 ** 11 cells."""
+    t = "the quick bath is not here, " * 12_000
+    rows = [("long", "a", t.replace("e", "")), ("long", "b", t.replace("a", "@")), ("short", "a", "axcd"), ("short", "b", "")]
+    truth = spark.createDataFrame([("long", t), ("short", "abc")], "stem string, text string")
+    f = evaluate.edit_statistics(truth, spark.createDataFrame(rows, "stem string, method string, text string"), split=True).where("profile = 'strict'")
+    got = {(r["stem"], r["method"]): (r["substitutions"], r["deletions"], r["insertions"], r["edits"]) for r in f.collect()}
+    assert got == {("long", "a"): (0, 36_000, 0, 36_000), ("long", "b"): (12_000, 0, 0, 12_000), ("short", "a"): (1, 0, 1, 2), ("short", "b"): (0, 3, 0, 3)}
