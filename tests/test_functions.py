@@ -119,3 +119,18 @@ def test_facts_of_null_texts(spark):
     got = {r["k"]: r["f"] for r in rows.select("k", metrics.edit_facts(F.col("r"), F.col("h"), True).alias("f")).collect()}
     assert tuple(got[1]["strict"]) == (3, 2, 1, 0, 1, 0) and tuple(got[1]["bare"]) == (2, 2, 0, 0, 0, 0)
     assert tuple(got[2]["bare"]) == (None, 2, None, 0, 0, 2) and tuple(got[3]["strict"]) == (2, None, None, 0, 2, 0)
+
+
+def test_blocks_are_the_librarys():
+    import difflib
+
+    rng = random.Random(12)
+    edits = (lambda t: t.translate(str.maketrans("ao", "@0")), lambda t: t.replace("th", "h"), lambda t: t.replace("q", "k"), lambda t: t + "x", lambda t: t[7:] + t[:5], lambda t: t.replace("a", "b", 2), lambda t: t.replace(" ", ""), lambda t: t, lambda t: t[::-1])
+    for k in range(700):
+        words = ["".join(rng.choices("athok0@b"[: rng.randint(2, 8)], k=rng.randint(1, 9))) for _ in range(rng.randint(1, 30))]
+        t = "".join(rng.choices(words, k=rng.randint(0, 60))) + rng.choice(["", "q", "ab" * 40, "軟"])
+        for a, b in ((t, edits[k % len(edits)](t)), (edits[k % len(edits)](t), t), (t + "法律", t + "法津新"), (t, "".join(rng.choices(words, k=30)))):
+            want = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            for cells in (0, 1 << 14):
+                got = metrics._Gestalt(a, b, cells)
+                assert got.get_matching_blocks() == want.get_matching_blocks() and got.get_opcodes() == want.get_opcodes()
