@@ -1,7 +1,7 @@
 """Typing of recognition and correction errors from opcodes, and their summary.
 
-Opcodes are computed once a pair; spans, insertions and correctness are looked up in the opcode array of
-the same row, so the classification needs no join.
+Opcodes are computed once a pair; spans, insertions and correctness are read off both lists of a row side by
+side, so the classification needs no join and no second pass over the texts.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import metrics, script, text
+from ..functions import metrics, script
 
 # Error types in report order, statuses, and what stands for nothing.
 MIXED, SIMILAR, LOST, INVENTED = "繁簡混用", "相似字誤認", "缺字", "LLM hallucination"
@@ -24,24 +24,13 @@ def _or_empty(c: Column) -> Column:
 
 def error_details(rows: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
     """Rows stem, reference, raw, corrected to one row an error, in order ``ord`` within a stem."""
-    norm = lambda c: text.normalize_text(F.coalesce(F.col(c), F.lit("")), True)
-    d = rows.select("stem", norm("reference").alias("ref"), norm("raw").alias("raw"), norm("corrected").alias("cor"))
-    d = d.withColumn("ro", metrics.opcodes(F.col("ref"), F.col("raw"))).withColumn("co", metrics.opcodes(F.col("ref"), F.col("cor")))
-    cut = lambda t, a, b: F.substring(F.col(t), a + 1, b - a)
-    seen = d.select("*", F.posexplode(F.filter("ro", lambda o: o["tag"].isin("delete", "replace"))).alias("k", "o"))
-    seen = seen.select(
-        "stem", F.col("k").alias("ord"), F.col("o.tag").alias("tag"), cut("ref", F.col("o.i1"), F.col("o.i2")).alias("g"), cut("raw", F.col("o.j1"), F.col("o.j2")).alias("r"),
-        metrics.aligned_segment(F.col("co"), F.col("cor"), F.col("o.i1"), F.col("o.i2")).alias("c"),
-        F.when(metrics.span_correct(F.col("co"), F.col("o.i1"), F.col("o.i2")), YES).otherwise(NO).alias("success"),
-    )
+    found = rows.select("stem", F.inline(metrics.error_spans(F.col("reference"), F.col("raw"), F.col("corrected"))))
     mixed = (F.length("r") > 0) & (script.to_traditional(F.col("r"), table) == F.col("g"))
-    seen = seen.withColumn("error_type", F.when(F.col("tag") == "delete", LOST).when(mixed, MIXED).otherwise(SIMILAR)).drop("tag")
-    made = d.select("*", F.posexplode(F.filter("co", lambda o: o["tag"] == "insert")).alias("k", "o"))
-    made = made.select(
-        "stem", (F.col("k") + 1_000_000_000).alias("ord"), F.lit("").alias("g"), metrics.insertion_at(F.col("ro"), F.col("raw"), F.col("o.i1")).alias("r"),
-        cut("cor", F.col("o.j1"), F.col("o.j2")).alias("c"), F.lit(NO).alias("success"), F.lit(INVENTED).alias("error_type"),
-    ).where("length(c) > 0 and c <> r")
-    return seen.unionByName(made).select("stem", "ord", "error_type", F.concat(F.lit("GT「"), _or_empty(F.col("g")), F.lit("」")).alias("example"), _or_empty(F.col("r")).alias("raw_ocr"), _or_empty(F.col("c")).alias("corrected"), "success")
+    kind = F.when(F.col("tag") == "insert", INVENTED).when(F.col("tag") == "delete", LOST).when(mixed, MIXED).otherwise(SIMILAR)
+    return found.select(
+        "stem", "ord", kind.alias("error_type"), F.concat(F.lit("GT「"), _or_empty(F.col("g")), F.lit("」")).alias("example"),
+        _or_empty(F.col("r")).alias("raw_ocr"), _or_empty(F.col("c")).alias("corrected"), F.when(F.col("right"), YES).otherwise(NO).alias("success"),
+    )
 
 
 def summarize(details: DataFrame) -> DataFrame:

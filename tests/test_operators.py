@@ -1,9 +1,11 @@
 import json
 from pathlib import Path
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import metrics
 from lectern.operators import correction, documents, errors, evaluate, fusion
 from lectern.sources import files, sinks
 
@@ -133,3 +135,16 @@ def test_splits_of_whole_texts_come_from_bounds(spark):
     f = evaluate.edit_statistics(truth, spark.createDataFrame(rows, "stem string, method string, text string"), split=True).where("profile = 'strict'")
     got = {(r["stem"], r["method"]): (r["substitutions"], r["deletions"], r["insertions"], r["edits"]) for r in f.collect()}
     assert got == {("long", "a"): (0, 36_000, 0, 36_000), ("long", "b"): (12_000, 0, 0, 12_000), ("short", "a"): (1, 0, 1, 2), ("short", "b"): (0, 3, 0, 3)}
+
+
+def test_errors_of_long_documents(spark):
+    """An error at the end of texts that agree otherwise, longer than a search of windows or cells could take."""
+    t = "".join(chr(0x4E00 + k * k % 4999) for k in range(30_000))
+    rows = [("a", t + "软件", t + "軟體", t + "軟體"), ("b", t + "【法律原則】", t + "【法律】", t + "【法律原則】"), ("c", t, t, t + "新增"), ("d", None, None, None)]
+    with mock.patch.object(metrics._Gestalt, "_common", side_effect=AssertionError):
+        assert [e["tag"] for _, *texts in rows[:3] for e in metrics.errors_of(*texts)] == ["replace", "delete", "insert"]
+    details = errors.error_details(spark.createDataFrame(rows, "stem string, reference string, raw string, corrected string"), {"軟體": "软件"})
+    assert sorted(map(tuple, details.drop("ord").collect())) == [
+        ("a", "繁簡混用", "GT「软件」", "軟體", "軟體", "否"), ("b", "缺字", "GT「原則」", "∅", "原則", "是"), ("c", "LLM hallucination", "GT「∅」", "∅", "新增", "否"),
+    ]
+    assert details._jdf.queryExecution().executedPlan().toString().count("_errors(") == 1
