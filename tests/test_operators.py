@@ -148,3 +148,13 @@ def test_errors_of_long_documents(spark):
         ("a", "繁簡混用", "GT「软件」", "軟體", "軟體", "否"), ("b", "缺字", "GT「原則」", "∅", "原則", "是"), ("c", "LLM hallucination", "GT「∅」", "∅", "新增", "否"),
     ]
     assert details._jdf.queryExecution().executedPlan().toString().count("_errors(") == 1
+
+
+def test_summary_reads_each_pair_once(spark, tmp_path):
+    from lectern.plans import registry
+
+    rows = [(k, "some text " * 300, "en", "s") for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["error_summary"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("_errors(") == 1
+    assert [(r["ord"], r["example"].split("：")[0], r["success"]) for r in df.orderBy("ord").collect()] == [(0, "0", "是"), (1, "1", "是"), (2, "2", "是"), (3, "3", "否")]
