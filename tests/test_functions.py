@@ -134,3 +134,28 @@ def test_blocks_are_the_librarys():
             for cells in (0, 1 << 14):
                 got = metrics._Gestalt(a, b, cells)
                 assert got.get_matching_blocks() == want.get_matching_blocks() and got.get_opcodes() == want.get_opcodes()
+
+
+def test_blocks_of_texts_that_lost_a_character():
+    """Matched along the runs between losses, without a search of all windows, also where lines and words come again."""
+    import difflib
+    from unittest import mock
+
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghijklmnopqrsuvwxyz軟", k=rng.randint(1, 9))) for _ in range(400)]
+    long = [[*rng.sample(words, 60), rng.choice(["the", "that", "thr"])] for _ in range(60)]
+    t = "".join("".join(x) for x in [*long, *long[:20], ["y" * 70]])
+    with mock.patch.object(metrics._Gestalt, "_common", side_effect=AssertionError), mock.patch.object(metrics._Gestalt, "find_longest_match", side_effect=AssertionError):
+        blocks = metrics._Gestalt(t, t.replace("th", "h")).get_matching_blocks()
+    assert blocks == difflib.SequenceMatcher(None, t, t.replace("th", "h"), autojunk=False).get_matching_blocks()
+    tried = 0
+    for k in range(1500):
+        letters = ("th", "the ", "thé軟", "thea😀oscn")[k % 4]
+        part = ["".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 8))]
+        a, often = "".join(rng.choices(part, k=rng.randint(1, 40))), rng.random() * 0.6
+        b = a.replace("th", "h") if k % 3 else "".join(c for c in a if c != "t" or rng.random() > often)
+        tried += metrics._Gestalt(a, b)._at_losses() is not None
+        for cells, pairs in ((0, 1), (1 << 14, 1 << 18)):
+            with mock.patch.object(metrics._Gestalt._at_losses, "__defaults__", (pairs,)):
+                assert metrics._Gestalt(a, b, cells).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    assert tried > 400
