@@ -159,3 +159,13 @@ def test_blocks_of_texts_that_lost_a_character():
             with mock.patch.object(metrics._Gestalt._at_losses, "__defaults__", (pairs,)):
                 assert metrics._Gestalt(a, b, cells).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
     assert tried > 400
+
+
+def test_errors_compare_only_texts_that_differ():
+    from unittest import mock
+
+    with mock.patch.object(metrics, "_ops", side_effect=AssertionError):
+        assert metrics.errors_of("some text", "some text", "some text") == [] and metrics.errors_of("", "", "") == []
+    with mock.patch.object(metrics, "_ops", wraps=metrics._ops) as made:
+        assert [(e["tag"], e["g"], e["r"], e["c"], e["right"]) for e in metrics.errors_of("法律", "法津", "法律")] == [("replace", "律", "津", "律", True)]
+    assert made.call_count == 1
