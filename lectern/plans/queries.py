@@ -47,10 +47,16 @@ def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACCENTED = "àâäçèéêëîïíñóôöùúûüÀÂÄÇÈÉÊËÎÏÍÑÓÔÖÙÚÛÜ"
 
 
+def plain(t):
+    """Whether a text is ASCII: it has no marks, so that its letters can be edited as they are."""
+    return F.octet_length(t) == F.length(t)
+
+
 def decomposed(t):
+    out = t
     for c in ACCENTED:
-        t = F.replace(t, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
-    return t
+        out = F.replace(out, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    return F.when(plain(t), t).otherwise(out)
 
 
 def swapped(t, letter, other):
@@ -60,9 +66,11 @@ def swapped(t, letter, other):
 
 def predictions(s: DataFrame) -> DataFrame:
     t, apart = F.col("text"), F.col("_apart")
+    lost = F.when(plain(t), F.replace(t, F.lit("e"), F.lit(""))).otherwise(swapped(apart, "e", ""))
+    read = F.when(plain(t), F.replace(F.replace(t, F.lit("a"), F.lit("@")), F.lit("o"), F.lit("0"))).otherwise(swapped(swapped(apart, "a", "@"), "o", "0"))
     made = F.array(
-        F.struct(F.lit("paddleocr_baseline").alias("method"), swapped(apart, "e", "").alias("text")),
-        F.when(F.contains(t, F.lit("th")), F.struct(F.lit("ensemble_only").alias("method"), swapped(swapped(apart, "a", "@"), "o", "0").alias("text"))),
+        F.struct(F.lit("paddleocr_baseline").alias("method"), lost.alias("text")),
+        F.when(F.contains(t, F.lit("th")), F.struct(F.lit("ensemble_only").alias("method"), read.alias("text"))),
         F.struct(F.lit("ensemble_llm").alias("method"), F.concat(t, F.lit(" end")).alias("text")),
     )
     keep = [c for c in s.columns if c != "text"]

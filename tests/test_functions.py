@@ -169,3 +169,18 @@ def test_errors_compare_only_texts_that_differ():
     with mock.patch.object(metrics, "_ops", wraps=metrics._ops) as made:
         assert [(e["tag"], e["g"], e["r"], e["c"], e["right"]) for e in metrics.errors_of("法律", "法津", "法律")] == [("replace", "律", "津", "律", True)]
     assert made.call_count == 1
+
+
+def test_predictions_edit_plain_texts_as_they_are(spark):
+    import unicodedata
+
+    from lectern.plans import queries
+
+    texts = {"1": "the boat eel", "2": "thé bôat è é àa the", "3": "", "4": "no 中 o", "5": "e"}
+    s = spark.createDataFrame(list({**texts, "6": None}.items()), "stem string, text string")
+    assert {r["stem"]: r["p"] for r in s.select("stem", queries.plain(F.col("text")).alias("p")).collect()} == {"1": True, "2": False, "3": True, "4": False, "5": True, "6": None}
+    made = queries.predictions(s)
+    got = {(r["stem"], r["method"]): r["text"] and unicodedata.normalize("NFC", r["text"]) for r in made.collect() if r["stem"] != "6"}
+    whole = {k: unicodedata.normalize("NFC", t) for k, t in texts.items()}
+    want = {(k, "paddleocr_baseline"): t.replace("e", "") for k, t in whole.items()} | {(k, "ensemble_llm"): t + " end" for k, t in whole.items()}
+    assert got == want | {(k, "ensemble_only"): t.replace("a", "@").replace("o", "0") for k, t in whole.items() if "th" in t}
