@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, mixing, ngram_join, pii, quality_rules
-from lectern.llm.common import spool
+from lectern.llm.common import drop_spooled, spool
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of dropped copies are broadcast up to this many rows; beyond, Spark joins by shuffle.
@@ -31,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_mark"))
     classed = ngram_join.jaccard_components(docs, words=5, percent=80, mark="_mark")
     lost = spool(classed.where("component_id <> doc_id").select("doc_id", F.col("mark").alias("_mark")).distinct(), "stage-copies")
+    drop_spooled(spark, classed)
     lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
     return docs.join(lost, ["doc_id", "_mark"], "left_anti").select(*COLUMNS)
 
@@ -73,5 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        docs = spool(out, f"pipeline-{name}")
+        drop_spooled(spark, out)
     return docs

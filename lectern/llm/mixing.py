@@ -58,8 +58,9 @@ def rake(cells: DataFrame, *, temper: float = 0.7, rounds: int = 12, targets: di
     """
     n = cells.count()
     small = n <= MOST_BROADCAST
-    cells = cells.where("tokens > 0").withColumn("weight", F.lit(1.0))
-    cells = spool(cells.coalesce(1) if small else cells, "op4-cells")
+    # few cells are one partition, also as read back, so that no margin is shuffled
+    held = lambda df, label: spool(df.coalesce(1), label).coalesce(1) if small else spool(df, label)
+    cells = held(cells.where("tokens > 0").withColumn("weight", F.lit(1.0)), "op4-cells")
     goal = {}
     for m in MARGINS:
         sums = cells.groupBy(f"_{m}").agg(F.sum("tokens").cast("double").alias("t"))
@@ -73,13 +74,13 @@ def rake(cells: DataFrame, *, temper: float = 0.7, rounds: int = 12, targets: di
         total = goal[m].agg(F.sum(f"raw_{m}").alias("_all"))
         goal[m] = goal[m].join(F.broadcast(total)).select(f"_{m}", (F.col(f"raw_{m}") / F.col("_all")).alias(f"goal_{m}"))
         cells = cells.join(goal[m], f"_{m}")
-    cells = spool(cells.coalesce(1) if small else cells, "op4-goals")
+    cells = held(cells, "op4-goals")
     for k in range(rounds):
         for m in MARGINS:
             now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(f"_{m}"))
             cells = cells.withColumn("weight", F.col("weight") * F.col(f"goal_{m}") / now)
         if (k + 1) % EVERY == 0 or not small:
-            cells = spool(cells, "op4-raked")
+            cells = held(cells, "op4-raked")
     if (off := deviation(cells)) > TOLERANCE:
         warnings.warn(f"after {rounds} rounds a margin is still {off:.3g} of its target off", stacklevel=2)
     top = cells.agg(F.max("weight").alias("_top"))

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_hot, small_batches, spool
+from .common import connected_components, drop_spooled, join_hot, small_batches, spool
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -446,12 +446,12 @@ def _components(docs: DataFrame, words: int, percent: int, mark: str | None) ->
     shared = spool(sigs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, centre long"), "op2-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b) of fingerprints, as numbers of nodes: bitmaps first, then the sets themselves."""
+        """Links among distinct pairs (a, b) of fingerprints, as numbers of nodes: bitmaps first, then the sets themselves."""
         side = lambda x: reps.select(F.col("f1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("f2", "n", "nid", "rep", *PLACES)])
         most = F.expr(f"(a_n + b_n) * {100 - percent} div {100 + percent}")
         gap = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PLACES), F.lit(0))
         near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.abs(F.col("a_n") - F.col("b_n")) <= most) & (F.col("a_nid") != F.col("b_nid")))
-        near = spool(near.where(gap <= most).select("a_nid", "b_nid", *[F.struct(F.col(x).alias("f1"), *[F.col(f"{x}_{c}").alias(c) for c in ("f2", "n", "nid", "rep")]).alias(x) for x in "ab"]).distinct(), "op2-near")
+        near = spool(near.where(gap <= most).select("a_nid", "b_nid", *[F.struct(F.col(x).alias("f1"), *[F.col(f"{x}_{c}").alias(c) for c in ("f2", "n", "nid", "rep")]).alias(x) for x in "ab"]), "op2-near")
         asked = spool(near.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.rep").alias("id"), "x.f1", "x.f2", "x.n", "x.nid").distinct(), "op2-asked")
         table = spark.sparkContext.broadcast(_bloom(asked, "id"))
         places = [F.pmod(F.xxhash64(F.lit(s), F.col("doc_id")), F.lit(len(table.value) << 5)).alias(f"p{s}") for s in (1, 2, 3)]
@@ -471,16 +471,26 @@ def _components(docs: DataFrame, words: int, percent: int, mark: str | None) ->
 
         run_sets = _sets(words)
         sets = docs.where("doc_id is not null").select("doc_id", "text", *places).mapInArrow(maybe, "id long, f1 long, f2 long, n long, s array<long>")
-        # a row that repeats an asked id with another text has other fingerprints and goes
-        sets = spool(sets.join(asked, ["id", *one]).select("nid", "s").dropDuplicates(["nid"]), "op2-sets")
+        # a row that repeats an asked id with another text has other fingerprints and goes; copies meet in the join's own partitions
+        sets = spool(sets.join(asked, ["id", *one]).dropDuplicates(["id", *one]).select("nid", "s"), "op2-sets")
         pair = near.select("a_nid", "b_nid")
         both = join_hot(pair, sets.select(F.col("nid").alias("a_nid"), F.col("s").alias("a_s")), "a_nid").join(sets.select(F.col("nid").alias("b_nid"), F.col("s").alias("b_s")), "b_nid")
         same = F.size(F.array_intersect("a_s", "b_s"))
-        return both.where(100 * same >= percent * (F.size("a_s") + F.size("b_s") - same)).select(F.col("a_nid").alias("u"), F.col("b_nid").alias("v"))
+        links = both.where(100 * same >= percent * (F.size("a_s") + F.size("b_s") - same)).select(F.col("a_nid").alias("u"), F.col("b_nid").alias("v"))
+        links = spool(links, "op2-links")
+        drop_spooled(spark, near, asked, sets)
+        return links
+
+    def settled(edges: DataFrame) -> DataFrame:
+        """Components of edges, whose own tables go."""
+        cc = connected_components(edges)
+        comps = spool(cc, "op2-comps")
+        drop_spooled(spark, cc, edges)
+        return comps
 
     star = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = spool(verified(star), "op2-links")
-    comps = spool(connected_components(links), "op2-comps")
+    comps = settled(verified(star))
+
     # Second look: buckets that still hold several components
     def of_node(comps):
         c = reps.select(F.col("f1").alias("node"), F.col("nid").alias("id")).join(comps, "id", "left")
@@ -494,6 +504,7 @@ def _components(docs: DataFrame, words: int, percent: int, mark: str | None) ->
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     still = still.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     still = spool(still.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "n", *PLACES), "op2-open")
+    drop_spooled(spark, shared)
 
     def across(comps, nearest):
         looked = still.join(of_node(comps), "node").select("key", "x", "y", "block", "node", "comp", "n", *PLACES)
@@ -503,10 +514,11 @@ def _components(docs: DataFrame, words: int, percent: int, mark: str | None) ->
     # rounds that join each component to its nearest keep the pairs few; the last look takes all that are left
     for k in range(MERGES + 1):
         pairs = across(comps, k < MERGES)
-        found = spool(verified(pairs), "op2-links") if pairs.limit(1).count() else None
+        found = verified(pairs) if pairs.limit(1).count() else None
+        drop_spooled(spark, pairs)
         if found is not None and found.limit(1).count():
-            links = links.union(found)
-            comps = spool(connected_components(links), "op2-comps")
+            comps = settled(comps.select(F.col("id").alias("u"), F.col("component").alias("v")).union(found))
+    drop_spooled(spark, still)
     return _answer(rows, reps, comps, one)
 
 
@@ -515,6 +527,7 @@ def _answer(rows: DataFrame, reps: DataFrame, comps: DataFrame, one: list[str])
     own = reps.select(*one, "rep", "copies", F.col("nid").alias("id")).join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     own = spool(join_hot(own, least, "component").select(*one, "copies", "component_id"), "op2-own")
+    drop_spooled(rows.sparkSession, reps, comps)
     filled, empty = rows.where("n > 0 and id is not null"), rows.where("n = 0 or id is null")
     filled = filled.select("id", *one, "mark")
     large = own.where(F.col("copies") >= COPIES_FROM).orderBy(F.desc("copies"), *one).limit(MOST_HOT).select(*one, F.col("component_id").alias("_near"))
