@@ -60,6 +60,7 @@ class Codec:
         self.pieces = regex.compile(PIECES)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.kept: dict[str, tuple[list[int], str]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
         self.most_kept, self.longest_kept = most_kept, longest_kept
 
     def merge(self, piece: str) -> list[int]:
@@ -99,17 +100,38 @@ class Codec:
                 self.kept[w] = got
         return got
 
+    def words(self, part: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
+        return self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
     def parts(self, text: str):
         """(ids, decimals) of each pre-token or special token in turn."""
         for k, part in enumerate(self.specials.split(text) if "<|" in text else [text]):
             if k % 2:
                 yield [self.special[part]], str(self.special[part])
             elif part:
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                yield from map(self.piece, self.pieces.findall(low))
+                yield from map(self.piece, self.words(part))
+
+    def ids(self, w: str) -> tuple[int, ...]:
+        """Ids of a pre-token alone: half the memory of what ``piece`` keeps."""
+        got = self.bare.get(w)
+        if got is None:
+            got = tuple(self.merge(w))
+            if len(w) <= self.longest_kept:
+                if len(self.bare) >= self.most_kept:
+                    self.bare.clear()
+                self.bare[w] = got
+        return got
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.parts(text) for i in ids]
+        out = []
+        for k, part in enumerate(self.specials.split(text) if "<|" in text else [text]):
+            if k % 2:
+                out.append(self.special[part])
+            elif part:
+                for w in self.words(part):
+                    out += self.ids(w)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings one after another; the file names no decoder, so a space stands between them."""

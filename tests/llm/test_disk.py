@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lectern.llm import common, mixing, ngram_join
+from lectern.llm import bpe, common, mixing, ngram_join
 
 from .test_operators import classes, texts
 
@@ -76,3 +76,17 @@ def test_small_graphs_and_few_cells_are_not_shuffled(spark, monkeypatch):
     assert mixing.rake(cells).count() == 42
     assert {x for x, _ in plans} == {"given", "cc", "op4-cells", "op4-goals", "op4-raked"}
     assert not [x for x, p in plans if "Exchange hashpartitioning" in p]
+
+
+def test_encoding_keeps_ids_alone():
+    """Encoding gives the ids of the round trip and keeps no decimals beside them; both tables are bounded."""
+    c = bpe.Codec(bpe.vocabulary_path(), most_kept=20)
+    rng = random.Random(8)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdeÉßΣ漢1#<|", k=rng.randint(1, 9))) for _ in range(30)) + rng.choice(["", *c.special])
+        ids = c.encode(text)
+        assert ids == [i for part, _ in c.parts(text) for i in part]
+    c = bpe.Codec(bpe.vocabulary_path(), most_kept=20)
+    c.encode("one two three " * 3 + " ".join(f"w{chr(97 + k)}x" for k in range(26)))
+    assert not c.kept
+    assert 0 < len(c.bare) <= 20
